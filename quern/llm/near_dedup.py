@@ -7,8 +7,9 @@ order with that common prefix are candidates:
 
 * in a region of up to SMALL rows, all of them (that pass a bound on sizes and an estimate from one-bit minhashes);
 * a denser region is first followed deeper, along the bits of the sketch, and only nearest neighbours are taken;
-  after their links are confirmed and components known, the region's rows are compared once more, and only pairs from
-  different components become candidates.  A group of copies thus never yields all its pairs.
+  after their links are confirmed and components known, the region's rows are compared once more, and only rows from
+  different components are.  Such a row's partners stay a list, which is confirmed in blocks of sets, and one link for
+  each component is enough.  A group of copies thus never yields all its pairs.
 
 Every candidate is confirmed on the full shingle sets.  Regions of more than REGION rows are cut at the next bits.
 
@@ -34,6 +35,8 @@ SHINGLE, SIMILAR_PERCENT = 5, 75
 TREES, DEPTH = 36, 4
 HASHES = TREES * DEPTH
 SMALL, NEAREST, REGION = 24, 2, 20_000
+#: Bytes of sets in a block, of which a task holds two.
+BLOCK_BYTES = 32 << 20
 #: Of 128 one-bit minhashes, those that must agree: sets of similarity 0.75 agree on 112 +- 3.7.
 LEAST_AGREEING = 94
 
@@ -152,7 +155,7 @@ def _steps(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within dense regions, the pairs from different components that may be similar."""
+    """Within dense regions, each row's larger partners from other components that may be similar."""
     for region in _regions(batches, ["key", "sketch1", "sketch2", "rep", "n", "component"]):
         rep, size, part = region["rep"], region["n"], region["component"]
         sketch = np.stack([region["sketch1"], region["sketch2"]], 1).view(K.U64)
@@ -164,7 +167,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = _passing(sketch, size, rows, slice(None)) & (part[rows, None] != part[None, :]) & (rep[rows, None] < rep[None, :])
             i, j = np.nonzero(fits)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i + at]), pa.array(rep[j])], ["a", "b"])
+                full, first = np.unique(i, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[full + at]), pa.ListArray.from_arrays(pa.array(np.append(first, len(i)).astype(np.int32)), pa.array(rep[j]))], ["a", "partners"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +206,49 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
     return links
 
 
+def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links of the rows of one block of sets with their partners in another, one for each component."""
+    at = {r: k for k, r in enumerate(right.column("rep").to_pylist())}
+    flat, first = K.raw(right.column("shingles"))
+    flat, first = np.frombuffer(flat.tobytes(), K.U64), first // 8
+    size, part = np.diff(first), right.column("component").to_numpy()
+    a, b = [], []
+    for rep, own, partners in zip(left.column("a").to_pylist(), left.column("shingles"), left.column("partners"), strict=True):
+        here = np.array([at[p] for p in partners.as_py() if p in at], np.int64)
+        own = np.frombuffer(own.as_buffer(), K.U64)
+        if not len(here) or not len(own):
+            continue
+        edges = np.concatenate(([0], np.cumsum(size[here])))
+        other = flat[np.repeat(first[here] - edges[:-1], size[here]) + np.arange(edges[-1])]
+        near = np.minimum(np.searchsorted(own, other), len(own) - 1)
+        common = np.add.reduceat((own[near] == other).astype(np.int64), edges[:-1])
+        linked = here[100 * common >= SIMILAR_PERCENT * (len(own) + size[here] - common)]
+        for k in np.unique(part[linked], return_index=True)[1]:
+            a.append(rep)
+            b.append(int(right.column("rep")[int(linked[k])].as_py()))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) from rows (a, partners), confirmed on the full shingle sets.
+
+    ``nodes`` has (rep, component) of every document named.  Their sets are dealt into blocks of BLOCK_BYTES, and each pair of
+    blocks is one task, so that neither a pair becomes a row nor a large group one task.
+    """
+    spark = docs.sparkSession
+    lists, p1 = written(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")), "partners")
+    nodes, p2 = written(nodes.distinct(), "nodes")
+    one = docs.select(doc_id, text).join(nodes.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
+    sets, p3 = written(one.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"]).join(nodes, "rep"), "sets")
+    blocks = max(4, -(-(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // BLOCK_BYTES))
+    block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = lists.join(sets.select(F.col("rep").alias("a"), "shingles"), "a").select("a", "shingles", "partners", block("a").alias("i"), F.explode(every).alias("j"))
+    right = spark.read.schema(sets.schema).parquet(p3).select("rep", "shingles", "component", F.explode(every).alias("i"), block("rep").alias("j"))
+    links, _ = written(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_links, "a long, b long"), "confirmed")
+    dropped(spark, p1, p2, p3)
+    return links
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
     spark = docs.sparkSession
@@ -219,9 +266,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         first = components(links, "a", "b").withColumnsRenamed({"node": "rep"})
         known = dense.withColumnRenamed("a", "rep").drop("b").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
-        order = known.join(mixed, "key", "left_semi").repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2")
-        across = order.mapInArrow(_across, "a long, b long").distinct().join(near.filter("b is not null").select("a", "b").distinct(), ["a", "b"], "left_anti")
-        links = links.union(confirmed(across, docs, doc_id, text))
+        order, order_path = written(known.join(mixed, "key", "left_semi"), "open")
+        across = order.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2").mapInArrow(_across, "a long, partners array<long>")
+        links = links.union(confirmed_lists(across, order.select("rep", "component"), docs, doc_id, text))
+        dropped(spark, order_path)
     found, _ = written(components(links, "a", "b"), "components")
     of_class = classes.select("mark1", "mark2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("mark1", "mark2", "n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"))
     each = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("mark1", "mark2", "n_shingles")).alias("k"))
