@@ -20,10 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The session and folder whose tables are registered as views, and the engine over them.
+_registered: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return Engine(spark)
+    at = (spark._jsparkSession.sessionUUID(), sf_dir)
+    if at not in _registered:
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _registered.clear()
+        _registered[at] = Engine(spark)
+    return _registered[at]
 
 
 def _query(name: str, oracle: str | None = None):
