@@ -44,7 +44,7 @@ STAGES = [
     ("sentencepiece", sentencepiece_ids),
 ]
 
-#: Neither the span classifier nor the fold of pieces can be expressed in SQL; the tests hold run() against brute force.
+#: Neither the span classifier nor the fold of pieces can be expressed in SQL; the tests compare run() in part with brute force.
 ORACLE_SQL = None
 
 
