@@ -80,7 +80,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     found = _let("low", f"lower({t})", f"filter({phrases}, x -> contains(low, x))")
     judged = _let("ph", found, f"transform(filter(ls, e -> size(e.v) > 0), e -> named_struct('l', e.l, 'bad', {_line_fails('e.l', 'e.v')}, 'c', cast(length(e.l) as bigint)))")
     base = _let("w", "flatten(transform(ls, e -> e.v))", "named_struct('n', cast(size(w) as bigint), 'c', cast(length(array_join(w, '')) as bigint), 'r', " + _repeat_words() + ")")
-    one = docs.select(*kept, F.expr(t).alias("__t"), F.expr(_let("ls", lines, f"struct({base} as b, {judged} as j)")).alias("__bj"))
+    # the measures come out of a generator, below which no filter on them is pushed: it would compute them again for each use
+    one = docs.select(*kept, F.expr(t).alias("__t"), F.explode(F.array(F.expr(_let("ls", lines, f"struct({base} as b, {judged} as j)")))).alias("__bj"))
     one = one.select(*kept, "__t", F.col("__bj.b").alias("__b"), F.col("__bj.j").alias("__j"))
     shares = "aggregate(__j, struct(0L as good, 0L as bad_n, 0L as c), (a, e) -> struct(a.good + if(e.bad, 0, e.c) as good, a.bad_n + if(e.bad, 1, 0) as bad_n, a.c + e.c as c))"
     two = one.select(*kept, "__t", "__b", "__j", F.expr(shares).alias("__s"))
