@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,21 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after whose end the worker gives freed memory back: workers wait for other tasks and keep what they hold."""
+
+    def and_then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return and_then_trim
+
+
 def salted_lookup(rows: DataFrame, unique: DataFrame, key: str, spread: Column, salts: int = SALTS) -> DataFrame:
     """Left join of ``rows`` with ``unique`` (one row for each value of ``key``), rows of one key dealt over ``salts`` tasks.
 

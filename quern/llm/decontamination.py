@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens as K
+from quern.llm.common import trimmed
 
 #: Words of a window; items that must occur for a document to count as contaminated.
 WINDOW, CONTAMINATED_ITEMS = 8, 2
@@ -100,7 +101,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hits", HITS)] + [T.StructField("clean_text", T.StringType())] * clean)
     out = docs.select(*kept)
     for k, grams in enumerate(blocks):
-        out = out.mapInArrow(_pass(grams, text, k == 0, clean and k == len(blocks) - 1), T.StructType([f for f in schema if f.name != "clean_text" or k == len(blocks) - 1]))
+        out = out.mapInArrow(trimmed(_pass(grams, text, k == 0, clean and k == len(blocks) - 1)), T.StructType([f for f in schema if f.name != "clean_text" or k == len(blocks) - 1]))
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens as K
-from quern.llm.common import dropped, salted_lookup, written
+from quern.llm.common import dropped, salted_lookup, trimmed, written
 from quern.llm.components import components
 
 SHINGLE, SIMILAR_PERCENT = 5, 75
@@ -199,9 +199,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
     pairs, p1 = written(pairs.distinct(), "pairs")
     needed, p2 = written(pairs.select(F.explode(F.array("a", "b")).alias(doc_id)).distinct(), "needed")
     one = docs.select(doc_id, text).join(needed, doc_id, "left_semi")
-    sets, p3 = written(one.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    sets, p3 = written(one.mapInArrow(trimmed(_sets), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     joined = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b")
-    links, _ = written(joined.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    links, _ = written(joined.select("a", "b", "x", "y").mapInArrow(trimmed(_confirmed), "a long, b long"), "confirmed")
     dropped(spark, p1, p2, p3)
     return links
 
@@ -239,7 +239,7 @@ def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id:
     lists, p1 = written(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")), "partners")
     nodes, p2 = written(nodes.distinct(), "nodes")
     one = docs.select(doc_id, text).join(nodes.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
-    sets, p3 = written(one.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"]).join(nodes, "rep"), "sets")
+    sets, p3 = written(one.mapInArrow(trimmed(_sets), "rep long, shingles binary").dropDuplicates(["rep"]).join(nodes, "rep"), "sets")
     blocks = max(4, -(-(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // BLOCK_BYTES))
     block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
     left = lists.join(sets.select(F.col("rep").alias("a"), "shingles"), "a").select("a", "shingles", "partners", block("a").alias("i"), F.explode(every).alias("j"))
@@ -252,14 +252,14 @@ def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
     spark = docs.sparkSession
-    signed, signed_path = written(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_signatures, "doc_id long, n_shingles long, mark1 long, mark2 long, sketch1 long, sketch2 long, keys array<long>"), "signed")
+    signed, signed_path = written(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(trimmed(_signatures), "doc_id long, n_shingles long, mark1 long, mark2 long, sketch1 long, sketch2 long, keys array<long>"), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("mark1", "mark2", "n_shingles").agg(F.min_by(F.struct(F.col("doc_id").alias("rep"), "sketch1", "sketch2", "keys"), "doc_id").alias("r")).select("mark1", "mark2", "n_shingles", "r.*")
     classes, classes_path = written(classes, "classes")
     rows = classes.select(F.explode("keys").alias("key"), "sketch1", "sketch2", "rep", F.col("n_shingles").alias("n"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = rows.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2")
-    near, near_path = written(order.mapInArrow(_neighbours, "a long, b long, key long, sketch1 long, sketch2 long, n long"), "near")
+    near, near_path = written(order.mapInArrow(trimmed(_neighbours), "a long, b long, key long, sketch1 long, sketch2 long, n long"), "near")
     links = confirmed(near.filter("b is not null").select("a", "b"), docs, doc_id, text)
     dense = near.filter("b is null")
     if not dense.isEmpty():
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         known = dense.withColumnRenamed("a", "rep").drop("b").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
         order, order_path = written(known.join(mixed, "key", "left_semi"), "open")
-        across = order.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2").mapInArrow(_across, "a long, partners array<long>")
+        across = order.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2").mapInArrow(trimmed(_across), "a long, partners array<long>")
         links = links.union(confirmed_lists(across, order.select("rep", "component"), docs, doc_id, text))
         dropped(spark, order_path)
     found, _ = written(components(links, "a", "b"), "components")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.common import trimmed
+
 #: Kinds in the order of reports; the first four have a base.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 #: Fixed values of the base.
@@ -164,7 +166,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     counts[c.pattern] = counts.get(c.pattern, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
-    return docs.select(text).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(trimmed(run), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 class SpanModel:
@@ -255,7 +257,7 @@ def _mapped(docs: DataFrame, names: dict[str, T.DataType], row: Callable[[str |
             columns = [batch.column(c) for c in kept] + [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens as K
+from quern.llm.common import trimmed
 
 #: Bound of the labelled sample (half of it for each label, by the hash of the id), and of the space.
 MAX_LABELLED, TERMS, DIMENSIONS, NEAREST = 4_000, 4_096, 48, 15
@@ -138,4 +139,4 @@ def scored(docs: DataFrame, voters: Voters, text: str = "text") -> DataFrame:
             score = shared.value.scores(batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.select(*kept).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

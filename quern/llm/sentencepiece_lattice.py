@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens as K
+from quern.llm.common import trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BAR = "▁"
@@ -386,7 +387,7 @@ def frequent_units(docs: DataFrame, model: Model, text: str = "text", most: int
                 text_of = chars.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([text_of[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[at], ends[at], strict=True)], pa.string()), pa.array(n, pa.int64())], ["unit", "n"])
 
-    counts = docs.select(text).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(trimmed(count), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "unit").limit(most).select("unit")
 
 
@@ -450,8 +451,9 @@ def encode(docs: DataFrame, model: Model | None = None, text: str = "text", head
         for batch in batches:
             parts = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32())) for _, flat, first in encoder.encoded(batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, ids])
+        encoder.known = None
 
-    return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.select(*kept).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: Model | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -465,7 +467,7 @@ def decode(rows: DataFrame, model: Model | None = None, ids: str = "ids", text:
             texts = encoder.decoded(lists.flatten().to_numpy(zero_copy_only=False), first)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())], [*batch.schema.names, text])
 
-    return rows.select(*kept).mapInArrow(run, T.StructType([rows.schema[c] for c in kept] + [T.StructField(text, T.StringType())]))
+    return rows.select(*kept).mapInArrow(trimmed(run), T.StructType([rows.schema[c] for c in kept] + [T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, model: Model | None = None, text: str = "text", head: int = HEAD) -> DataFrame:
@@ -481,5 +483,6 @@ def digests(docs: DataFrame, model: Model | None = None, text: str = "text", hea
                 digest += [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
                 same += [x.encode() == y for x, y in zip(texts, encoder.decoded(flat, first), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+        encoder.known = None
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select("doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import new_path, salted_lookup
+from quern.llm.common import new_path, salted_lookup, trimmed
 
 #: Bytes of a block in one record, of a chunk of a body, and records of an archive file.
 SEGMENT, CHUNK, RECORDS = 48 * 1024, 8 * 1024, 512
@@ -169,7 +169,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse, _SEGMENTS)
+    return files.mapInArrow(trimmed(_parse), _SEGMENTS)
 
 
 def reassembled(found: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = reassembled(segments(spark, path))
     schema = "origin string, record_type string, page_id string, refers_to string, digest string, length long, block binary, payload binary, payload_sha1 string, whole boolean"
-    out = rows.select("origin", "record_type", "page_id", "refers_to", "digest", "length", "block").mapInArrow(_decode, schema)
+    out = rows.select("origin", "record_type", "page_id", "refers_to", "digest", "length", "block").mapInArrow(trimmed(_decode), schema)
     return out.select(
         F.expr("try_cast(page_id as bigint)").alias("page_id"),
         "record_type",
