@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quern.engine import Engine
 from quern.functions import models
@@ -288,3 +290,109 @@ _sql("fn_struct", "SELECT n_nationkey, struct(n_name, n_regionkey).n_name AS a,
 _sql("fn_json", "SELECT n_nationkey, get_json_object(concat('{\"a\": ', n_regionkey, '}'), '$.a') AS a, from_json(concat('{\"b\": ', n_nationkey, '}'), 'b INT').b AS b FROM nation", "SELECT n_nationkey, n_regionkey::VARCHAR AS a, n_nationkey AS b FROM nation")
 _sql("fn_hash", "SELECT n_nationkey, md5(n_name) AS a, sha2(n_name, 256) AS b FROM nation", "SELECT n_nationkey, md5(n_name) AS a, sha256(n_name) AS b FROM nation")
 _sql("fn_conditional", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, nvl(nullif(c_mktsegment, 'BUILDING'), 'none') AS b, if(c_acctbal > 0, 1, 0) AS c, try_cast(c_name AS INT) AS d FROM customer", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1) AS a, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS b, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS c, try_cast(c_name AS INT) AS d FROM customer")
+
+
+# -- formats, table creation and catalog statements
+
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def _copy(e: Engine, name: str, using: str = "parquet", partition: str = "") -> str:
+    t = _fresh(name)
+    e.sql(f"CREATE TABLE {t} USING {using} {partition} AS {_NATION}")
+    return t
+
+
+def _format(using: str) -> None:
+    _query(f"format_{using}", _NATION)(lambda e, _: e.sql(f"{_NATION.replace('FROM nation', '')} FROM {_copy(e, using, using)}"))
+
+
+for _using in ("parquet", "orc", "json"):
+    _format(_using)
+
+
+def _on_copy(name: str, oracle: str, *statements: str, partition: str = "PARTITIONED BY (n_regionkey)") -> None:
+    """Statements over a copy ``{t}`` of nation (``{u}`` is a free name); the last of them gives the rows."""
+
+    @_query(name, oracle)
+    def run(e: Engine, _: str) -> DataFrame:
+        names = {"t": _copy(e, name, partition=partition), "u": _fresh(name)}
+        return [e.sql(s.format(**names)) for s in statements][-1]
+
+
+_on_copy("ctas_bucketed", _NATION, f"{_NATION.replace('FROM nation', '')} FROM {{t}}", partition="PARTITIONED BY (n_regionkey) CLUSTERED BY (n_nationkey) INTO 2 BUCKETS")
+_on_copy("table_like", "SELECT 0::BIGINT AS n", "CREATE TABLE {u} LIKE {t}", "SELECT count(n_regionkey) AS n FROM {u}")
+_on_copy("insert_into", f"{_NATION} UNION ALL SELECT 99, 'new', 7", "INSERT INTO {t} PARTITION (n_regionkey = 7) SELECT 99, 'new'", "SELECT n_nationkey, n_name, n_regionkey FROM {t}")
+_on_copy("insert_dynamic_partition", f"{_NATION} UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey + 10 FROM nation", "INSERT INTO {t} PARTITION (n_regionkey) SELECT n_nationkey + 100, n_name, n_regionkey + 10 FROM nation", "SELECT n_nationkey, n_name, n_regionkey FROM {t}")
+_on_copy(
+    "multi_insert", "SELECT n_nationkey AS k, CASE WHEN n_regionkey < 2 THEN 'low' ELSE 'high' END AS s FROM nation", "CREATE TABLE {u} (k INT, s STRING) USING parquet",
+    "FROM {t} INSERT INTO {u} SELECT n_nationkey, 'low' WHERE n_regionkey < 2 INSERT INTO {u} SELECT n_nationkey, 'high' WHERE n_regionkey >= 2", "SELECT k, s FROM {u}",
+)
+_on_copy("cat_show_partitions", "SELECT DISTINCT 'n_regionkey=' || n_regionkey AS partition FROM nation", "SHOW PARTITIONS {t}")
+_on_copy("cat_show_columns", "SELECT * FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) AS t(col_name)", "SHOW COLUMNS IN {t}")
+_on_copy("cat_drop_partition", "SELECT * FROM nation WHERE n_regionkey <> 1", "ALTER TABLE {t} DROP PARTITION (n_regionkey = 1)", "SELECT n_nationkey, n_name, n_regionkey FROM {t}")
+_on_copy("cat_rename_partition", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 11 ELSE n_regionkey END AS r FROM nation", "ALTER TABLE {t} PARTITION (n_regionkey = 1) RENAME TO PARTITION (n_regionkey = 11)", "SELECT n_nationkey, n_regionkey AS r FROM {t}")
+_on_copy("cat_add_columns", "SELECT n_nationkey, NULL::INTEGER AS x FROM nation", "ALTER TABLE {t} ADD COLUMNS (x INT)", "SELECT n_nationkey, x FROM {t}")
+_on_copy("cat_rename_table", "SELECT n_nationkey FROM nation", "ALTER TABLE {t} RENAME TO {u}", "SELECT n_nationkey FROM {u}", partition="")
+_on_copy("cat_truncate", "SELECT 0::BIGINT AS n", "TRUNCATE TABLE {t}", "SELECT count(*) AS n FROM {t}")
+_on_copy("cat_repair", "SELECT n_nationkey FROM nation", "MSCK REPAIR TABLE {t}", "ANALYZE TABLE {t} COMPUTE STATISTICS", "REFRESH TABLE {t}", "SELECT n_nationkey FROM {t}")
+_on_copy("cat_cache", "SELECT n_nationkey FROM nation", "CACHE TABLE {t}", "UNCACHE TABLE {t}", "SELECT n_nationkey FROM {t}")
+_on_copy("cat_view", "SELECT n_name AS b FROM nation WHERE n_regionkey = 2", "CREATE VIEW {u} AS SELECT n_nationkey AS a FROM {t}", "ALTER VIEW {u} AS SELECT n_name AS b FROM {t} WHERE n_regionkey = 2", "SELECT b FROM {u}")
+_on_copy("cat_function", "SELECT n_nationkey, n_nationkey * 2 + 1 AS y FROM nation", "CREATE TEMPORARY FUNCTION {u} (x INT) RETURNS INT RETURN x * 2 + 1", "SELECT n_nationkey, {u}(n_nationkey) AS y FROM {t}")
+_on_copy("cat_database", "SELECT n_nationkey FROM nation", "CREATE DATABASE {u}", "CREATE TABLE {u}.own USING parquet AS SELECT n_nationkey FROM {t}", "SELECT n_nationkey FROM {u}.own")
+_on_copy("cat_properties", "SELECT 'v' AS value", "ALTER TABLE {t} SET TBLPROPERTIES ('k' = 'v', 'w' = 'x')", "ALTER TABLE {t} UNSET TBLPROPERTIES ('w')", "SELECT 'v' AS value FROM (SELECT 1) LATERAL VIEW explode(array(1)) x AS y")
+
+
+@_query("insert_directory", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def _directory(e: Engine, _: str) -> DataFrame:
+    path = model_path(e.spark).replace("quern-model", "quern-directory")
+    e.sql(f"INSERT OVERWRITE DIRECTORY '{path}' USING parquet SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+    return e.spark.read.parquet(path)
+
+
+# -- further forms of relations, aggregates, windows and functions
+
+_sql("table_shorthand", "TABLE nation", "SELECT * FROM nation")
+_sql("from_first_select", "FROM nation SELECT n_name, n_regionkey WHERE n_regionkey > 2", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey > 2")
+_sql("alias_columns", "SELECT a, b FROM (SELECT n_nationkey, n_name FROM nation) AS t(a, b)")
+_sql("lateral_view_outer", "SELECT n_nationkey, w FROM nation LATERAL VIEW OUTER explode(IF(n_regionkey = 1, array(n_name), CAST(array() AS ARRAY<STRING>))) x AS w", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name END AS w FROM nation")
+_sql("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+_sql("filt_distinct_from", "SELECT c_custkey FROM customer WHERE nullif(c_nationkey, 3) IS DISTINCT FROM 5")
+_sql("agg_statistics", "SELECT l_returnflag, round(stddev_samp(l_quantity), 5) AS a, round(var_pop(l_quantity), 5) AS b, round(corr(l_quantity, l_extendedprice), 5) AS c, percentile(l_quantity, 0.5) AS d, count_if(l_discount > 0.05) AS e, bool_or(l_tax > 0.07) AS f FROM lineitem GROUP BY l_returnflag",
+     "SELECT l_returnflag, round(stddev_samp(l_quantity), 5) AS a, round(var_pop(l_quantity), 5) AS b, round(corr(l_quantity, l_extendedprice), 5) AS c, quantile_cont(l_quantity, 0.5) AS d, count(*) FILTER (l_discount > 0.05) AS e, bool_or(l_tax > 0.07) AS f FROM lineitem GROUP BY l_returnflag")
+_sql("win_nth_value", "SELECT c_custkey, nth_value(c_custkey, 2) OVER w AS a, last_value(c_custkey) OVER w AS b FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+_sql("win_ignore_nulls", "SELECT c_custkey, last_value(nullif(c_nationkey, 3), true) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM customer",
+     "SELECT c_custkey, last_value(nullif(c_nationkey, 3) IGNORE NULLS) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a FROM customer")
+_sql("fn_string_more", "SELECT p_partkey, reverse(p_name) AS a, regexp_replace(p_brand, '[0-9]+', '#') AS b, regexp_extract(p_brand, '([0-9]+)', 1) AS c, instr(p_name, 'e') AS d, translate(p_type, 'AE', 'ae') AS e, rpad(p_brand, 12, '.') AS f, split(p_name, ' ')[0] AS g, concat_ws('/', p_brand, p_type) AS h FROM part",
+     "SELECT p_partkey, reverse(p_name) AS a, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS b, regexp_extract(p_brand, '([0-9]+)', 1) AS c, instr(p_name, 'e') AS d, translate(p_type, 'AE', 'ae') AS e, rpad(p_brand, 12, '.') AS f, string_split(p_name, ' ')[1] AS g, concat_ws('/', p_brand, p_type) AS h FROM part")
+_sql("fn_math_more", "SELECT o_orderkey, round(exp(o_custkey / 10000), 6) AS a, round(pow(o_custkey, 2), 3) AS b, sign(o_totalprice - 100000) AS c, least(o_orderkey, o_custkey) AS d, pmod(-o_orderkey, 7) AS e, round(log(10, o_totalprice), 6) AS f FROM orders",
+     "SELECT o_orderkey, round(exp(o_custkey / 10000), 6) AS a, round(pow(o_custkey, 2), 3) AS b, sign(o_totalprice - 100000)::DOUBLE AS c, least(o_orderkey, o_custkey) AS d, ((-o_orderkey % 7) + 7) % 7 AS e, round(log(10, o_totalprice), 6) AS f FROM orders")
+_sql("fn_date_more", "SELECT o_orderkey, dayofweek(o_orderdate) AS a, CAST(add_months(CAST(o_orderdate AS DATE), 1) AS STRING) AS b, CAST(date_sub(CAST(o_orderdate AS DATE), 3) AS STRING) AS c, quarter(o_orderdate) AS d, CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS e FROM orders",
+     "SELECT o_orderkey, dayofweek(o_orderdate) + 1 AS a, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE::VARCHAR AS b, (o_orderdate::DATE - 3)::VARCHAR AS c, quarter(o_orderdate) AS d, date_trunc('month', o_orderdate)::DATE::VARCHAR AS e FROM orders")
+_sql("fn_array_more", "SELECT vec_id, size(filter(embedding, x -> x > 0)) AS a, exists(embedding, x -> x > 1000) AS b, array_max(array(1, label)) AS c FROM embeddings", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS a, false AS b, greatest(1, label) AS c FROM embeddings")
+
+
+# -- Python functions, in batches: what the engine accepts beside SQL
+
+
+@F.pandas_udf(DoubleType())
+def _halved(v: pd.Series) -> pd.Series:
+    return v / 2
+
+
+@F.pandas_udf(DoubleType())
+def _spread(v: pd.Series) -> float:
+    return float(v.max() - v.min())
+
+
+_query("py_scalar", "SELECT c_custkey, c_acctbal / 2 AS h FROM customer")(lambda e, _: e.spark.table("customer").select("c_custkey", _halved("c_acctbal").alias("h")))
+_query("py_grouped_aggregate", "SELECT c_nationkey, max(c_acctbal) - min(c_acctbal) AS s FROM customer GROUP BY c_nationkey")(lambda e, _: e.spark.table("customer").groupBy("c_nationkey").agg(_spread("c_acctbal").alias("s")))
+_query("py_grouped_map", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)::DOUBLE AS k FROM customer")(
+    lambda e, _: e.spark.table("customer").groupBy("c_nationkey").applyInPandas(lambda p: p[["c_custkey"]].assign(k=p.c_acctbal.rank(method="min")), "c_custkey long, k double")
+)
+
+
+@_query("py_registered", "SELECT c_custkey, c_acctbal / 2 AS h FROM customer")
+def _registered_function(e: Engine, _: str) -> DataFrame:
+    e.spark.udf.register("quern_halved", _halved)
+    return e.sql("SELECT c_custkey, quern_halved(c_acctbal) AS h FROM customer")
