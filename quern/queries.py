@@ -340,7 +340,7 @@ _on_copy("cat_cache", "SELECT n_nationkey FROM nation", "CACHE TABLE {t}", "UNCA
 _on_copy("cat_view", "SELECT n_name AS b FROM nation WHERE n_regionkey = 2", "CREATE VIEW {u} AS SELECT n_nationkey AS a FROM {t}", "ALTER VIEW {u} AS SELECT n_name AS b FROM {t} WHERE n_regionkey = 2", "SELECT b FROM {u}")
 _on_copy("cat_function", "SELECT n_nationkey, n_nationkey * 2 + 1 AS y FROM nation", "CREATE TEMPORARY FUNCTION {u} (x INT) RETURNS INT RETURN x * 2 + 1", "SELECT n_nationkey, {u}(n_nationkey) AS y FROM {t}")
 _on_copy("cat_database", "SELECT n_nationkey FROM nation", "CREATE DATABASE {u}", "CREATE TABLE {u}.own USING parquet AS SELECT n_nationkey FROM {t}", "SELECT n_nationkey FROM {u}.own")
-_on_copy("cat_properties", "SELECT 'v' AS value", "ALTER TABLE {t} SET TBLPROPERTIES ('k' = 'v', 'w' = 'x')", "ALTER TABLE {t} UNSET TBLPROPERTIES ('w')", "SELECT 'v' AS value FROM (SELECT 1) LATERAL VIEW explode(array(1)) x AS y")
+_on_copy("cat_properties", "SELECT 'k' AS key, 'v' AS value", "ALTER TABLE {t} SET TBLPROPERTIES ('k' = 'v', 'w' = 'x')", "ALTER TABLE {t} UNSET TBLPROPERTIES ('w')", "SHOW TBLPROPERTIES {t} ('k')")
 
 
 @_query("insert_directory", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
