@@ -6,12 +6,14 @@ order alike with probability 0.75 ** DEPTH, so all TREES miss such a pair once i
 order with that common prefix are candidates:
 
 * in a region of up to SMALL rows, all of them (that pass a bound on sizes and an estimate from one-bit minhashes);
-* a denser region is first followed deeper, along the bits of the sketch, and only nearest neighbours are taken;
-  after their links are confirmed and components known, the region's rows are compared once more, and only rows from
-  different components are.  Such a row's partners stay a list, which is confirmed in blocks of sets, and one link for
-  each component is enough.  A group of copies thus never yields all its pairs.
+* a denser region, and one that an edge of a range partition may have cut, is first followed along the bits of the
+  sketch, and only nearest neighbours are taken (in parts of REGION rows);
+* after their links are confirmed and components known, such a region is dealt into pieces, and each piece is compared
+  with each other piece and itself as one task, all rows with all, but for rows that one component already holds.  Such a
+  row's partners stay a list, which is confirmed in blocks of sets, and one link for each component is enough.  A group
+  of copies thus never yields all its pairs, and no size of a region leaves two of its rows uncompared.
 
-Every candidate is confirmed on the full shingle sets.  Regions of more than REGION rows are cut at the next bits.
+Every candidate is confirmed on the full shingle sets.
 
 Defined cases: no words or a null text give the empty set, which links with nothing; a text with fewer words than a
 shingle is one shingle; rows with equal doc_id are one node; a null doc_id keeps a null component and stays; other
@@ -35,6 +37,8 @@ SHINGLE, SIMILAR_PERCENT = 5, 75
 TREES, DEPTH = 36, 4
 HASHES = TREES * DEPTH
 SMALL, NEAREST, REGION = 24, 2, 20_000
+#: Rows in a piece of a region.  Above MANY pieces they grow instead, up to LARGE_PIECE.
+PIECE, MANY, LARGE_PIECE = 512, 32, 8_192
 #: Bytes of sets in a block, of which a task holds two.
 BLOCK_BYTES = 32 << 20
 #: Of 128 one-bit minhashes, those that must agree: sets of similarity 0.75 agree on 112 +- 3.7.
@@ -84,7 +88,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 128 - np.bitwise_count(a ^ b).sum(-1)
+    return 128 - (np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1]))
 
 
 def _passing(sketch: np.ndarray, size: np.ndarray, at: slice, than: slice) -> np.ndarray:
@@ -94,28 +98,35 @@ def _passing(sketch: np.ndarray, size: np.ndarray, at: slice, than: slice) -> np
     return fits & (_agreeing(sketch[at, None], sketch[None, than]) >= LEAST_AGREEING)
 
 
-def _regions(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of rows with one key, of up to REGION rows; the input is sorted by key and sketch."""
+def _regions(batches: Iterator[pa.RecordBatch], names: list[str], by: tuple[str, ...] = ("key",), most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Runs of rows that are equal in ``by``, and whether a run is surely whole; the input is sorted.
+
+    Not surely whole are the first and last run of the input, as its neighbours may hold more of them, and the parts of a run of more than ``most`` rows.
+    """
     rest: dict[str, np.ndarray] | None = None
+    whole = False
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
         now = {c: np.concatenate([rest[c], now[c]]) for c in names} if rest else now
-        cuts = np.flatnonzero(np.diff(now["key"])) + 1
-        edges = np.concatenate(([0], cuts, [len(now["key"])]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:-1].tolist(), strict=False):
-            if b - a > 1:
-                yield {c: x[a:b] for c, x in now.items()}
-        a = int(edges[-2]) if len(edges) > 1 else 0
-        while len(now["key"]) - a > REGION:
-            yield {c: x[a : a + REGION] for c, x in now.items()}
-            a += REGION
+        cuts = np.flatnonzero(np.logical_or.reduce([np.diff(now[c]) != 0 for c in by])) + 1
+        edges = np.concatenate(([0], cuts, [len(now["key"])])).tolist()
+        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+            if b > a:
+                yield {c: x[a:b] for c, x in now.items()}, whole
+            whole = True
+        a = edges[-2]
+        while most and len(now["key"]) - a > most:
+            yield {c: x[a : a + most] for c, x in now.items()}, False
+            a, whole = a + most, False
         rest = {c: x[a:] for c, x in now.items()}
-    if rest and len(rest["key"]) > 1:
-        yield rest
+    if rest:
+        yield rest, False
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (dense: false), and the rows of dense regions (b: null, dense: true)."""
+    """Candidate pairs, and the rows of regions that are dense or not surely whole (b: null)."""
     a, b, dense = [], [], []
     n = 0
 
@@ -128,8 +139,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(np.concatenate([pairs[0], rows["rep"]])), pa.concat_arrays([pa.array(pairs[1], pa.int64()), none(d)])] + [pa.concat_arrays([none(p), pa.array(rows[c], pa.int64())]) for c in names[2:]]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    for region in _regions(batches, ["key", "sketch1", "sketch2", "rep", "n"]):
+    for region, whole in _regions(batches, ["key", "sketch1", "sketch2", "rep", "n"], most=REGION):
         rep, size = region["rep"], region["n"]
+        if whole and len(rep) == 1:
+            continue
         sketch = np.stack([region["sketch1"], region["sketch2"]], 1).view(K.U64)
         if len(rep) <= SMALL:
             i, j = np.nonzero(np.triu(_passing(sketch, size, slice(None), slice(None)), 1))
@@ -138,11 +151,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = _steps(turned)
             keep = (np.minimum(size[i], size[j]) * 100 >= SIMILAR_PERCENT * np.maximum(size[i], size[j])) & (_agreeing(sketch[i], sketch[j]) >= LEAST_AGREEING)
             i, j = i[keep], j[keep]
+        if not whole or len(rep) > SMALL:
             dense.append(region)
+            n += len(rep)
         if len(i):
             a.append(np.minimum(rep[i], rep[j]))
             b.append(np.maximum(rep[i], rep[j]))
-        n += len(i) + (len(rep) if len(rep) > SMALL else 0)
+        n += len(i)
         if n > 50_000:
             yield out()
             a, b, dense, n = [], [], [], 0
@@ -155,20 +170,56 @@ def _steps(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within dense regions, each row's larger partners from other components that may be similar."""
-    for region in _regions(batches, ["key", "sketch1", "sketch2", "rep", "n", "component"]):
-        rep, size, part = region["rep"], region["n"], region["component"]
-        sketch = np.stack([region["sketch1"], region["sketch2"]], 1).view(K.U64)
-        if (part == part[0]).all():
+    """For each two pieces of a region, rows with their larger partners from other components that may be similar."""
+    for rows, _ in _regions(batches, ["key", "low", "high", "piece", "sketch1", "sketch2", "rep", "n", "component"], ("key", "low", "high")):
+        at = np.argsort(rows["piece"], kind="stable")
+        rep, size, part, piece = (rows[c][at] for c in ("rep", "n", "component", "piece"))
+        sketch = np.stack([rows["sketch1"][at], rows["sketch2"][at]], 1).view(K.U64)
+        alone = rows["low"][0] == rows["high"][0]
+        upto = len(rep) if alone else int(np.searchsorted(piece, rows["high"][0]))
+        others = slice(0 if alone else upto, len(rep))
+        if upto == 0 or others.start == len(rep) or (part == part[0]).all():
             continue
-        step = max(1, 2_000_000 // len(rep))
-        for at in range(0, len(rep), step):
-            rows = slice(at, at + step)
-            fits = _passing(sketch, size, rows, slice(None)) & (part[rows, None] != part[None, :]) & (rep[rows, None] < rep[None, :])
+        step = max(1, 2_000_000 // (others.stop - others.start))
+        for first in range(0, upto, step):
+            some = slice(first, min(first + step, upto))
+            fits = _passing(sketch, size, some, others) & (part[some, None] != part[None, others])
+            if alone:
+                fits &= rep[some, None] < rep[None, others]
             i, j = np.nonzero(fits)
             if len(i):
-                full, first = np.unique(i, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[full + at]), pa.ListArray.from_arrays(pa.array(np.append(first, len(i)).astype(np.int32)), pa.array(rep[j]))], ["a", "partners"])
+                x, y = rep[some][i], rep[others][j]
+                a, b = np.minimum(x, y), np.maximum(x, y)
+                order = np.argsort(a, kind="stable")
+                full, begin = np.unique(a[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.array(b[order]))], ["a", "partners"])
+
+
+def opened(known: DataFrame) -> DataFrame:
+    """Rows (key, sketch1, sketch2, rep, n, component) of the keys with several components, with ``piece`` and the pieces to compare it with.
+
+    A component of PIECE rows or more has pieces of its own, which aren't compared with each other; the others of a key share pieces.
+    """
+    counts = known.groupBy("key", "component").agg(F.count("*").alias("c"))
+    large = F.col("c") >= PIECE
+    keys = counts.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("c").alias("c"), F.coalesce(F.sum(F.when(~large, F.col("c"))), F.lit(0)).alias("shared"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("component", "c")))).alias("own"),
+    ).filter("parts > 1")
+    keys = keys.withColumn("rows", F.expr(f"greatest({PIECE}, least({LARGE_PIECE}, ceil(c / {MANY})))")).withColumn("shared", F.expr("ceil(shared / rows)"))
+    keys = keys.withColumn("own", F.expr("transform(own, x -> struct(x.component as component, ceil(x.c / rows) as k))"))
+    keys = keys.withColumn("own", F.expr("transform(own, (x, i) -> struct(x.component as component, x.k as k, shared + aggregate(slice(own, 1, i), 0L, (a, y) -> a + y.k) as start))"))
+    keys = keys.select("key", "shared", "own", F.expr("shared + aggregate(own, 0L, (a, y) -> a + y.k)").alias("pieces"))
+    rows = salted_lookup(known, keys, "key", F.col("rep")).filter("pieces is not null").withColumn("mine", F.expr("get(filter(own, x -> x.component = component), 0)"))
+    rows = rows.withColumn("piece", F.expr("if(mine is null, pmod(xxhash64(rep), shared), mine.start + pmod(xxhash64(rep), mine.k))"))
+    others = F.expr("filter(sequence(0L, pieces - 1), q -> mine is null or q < mine.start or q >= mine.start + mine.k)")
+    return rows.select("key", "sketch1", "sketch2", "rep", "n", "component", "piece", others.alias("others"))
+
+
+def across(order: DataFrame, parts: int) -> DataFrame:
+    """(a, partners) from the rows of opened(): each piece held against each of its others."""
+    pairs = order.withColumn("other", F.explode("others")).withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("other", "others")
+    return pairs.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(trimmed(_across), "a long, partners array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +316,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not dense.isEmpty():
         first = components(links, "a", "b").withColumnsRenamed({"node": "rep"})
         known = dense.withColumnRenamed("a", "rep").drop("b").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = known.groupBy("key").agg((F.min("component") < F.max("component")).alias("open")).filter("open").select("key")
-        order, order_path = written(known.join(mixed, "key", "left_semi"), "open")
-        across = order.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2").mapInArrow(trimmed(_across), "a long, partners array<long>")
-        links = links.union(confirmed_lists(across, order.select("rep", "component"), docs, doc_id, text))
+        order, order_path = written(opened(known), "open")
+        links = links.union(confirmed_lists(across(order, parts), order.select("rep", "component"), docs, doc_id, text))
         dropped(spark, order_path)
     found, _ = written(components(links, "a", "b"), "components")
     of_class = classes.select("mark1", "mark2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("mark1", "mark2", "n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"))

@@ -9,6 +9,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -96,6 +97,40 @@ def test_near_duplicates_in_dense_regions(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_at_partition_edges_stay_open():
+    """A region that an edge of a range partition may have cut isn't settled by its piece: its rows come out to be compared across the edge."""
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(-(1 << 62), 1 << 62, (2, 30))
+    key = np.repeat([1, 2, 3], [10, 10, 10])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sketch, np.arange(30), np.full(30, 9))], ["key", "sketch1", "sketch2", "rep", "n"])
+    rows = pa.Table.from_batches(list(near_dedup._neighbours(iter([batch.slice(0, 5), batch.slice(5)])))).to_pylist()
+    assert sorted(r["a"] for r in rows if r["b"] is None) == [*range(10), *range(20, 30)]
+    alone = pa.Table.from_batches(list(near_dedup._neighbours(iter([batch.slice(0, 1)])))).to_pylist()
+    assert [r["a"] for r in alone] == [0]
+
+
+def test_all_pairs_of_a_large_region(spark, many_partitions):
+    """A region of more than REGION rows: each pair of similar sketches from different components is listed once."""
+    rng = np.random.default_rng(4)
+    n = 20_600
+    sketch = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+    sketch[n // 2 :] = sketch[: n // 2] ^ np.array([1 << 63, 1 << 5], np.uint64)
+    component = np.where(np.arange(n) % 3 == 0, 3, np.arange(n))
+    rows = list(zip([7] * n, *(c.tolist() for c in (sketch.view(np.int64)[:, 0], sketch.view(np.int64)[:, 1], np.arange(n), np.full(n, 100), component)), strict=True))
+    known = spark.createDataFrame(rows, "key long, sketch1 long, sketch2 long, rep long, n long, component long")
+    listed = [(r.a, b) for r in near_dedup.across(near_dedup.opened(known), 200).collect() for b in r.partners]
+    assert len(listed) == len(set(listed)) and all(a < b for a, b in listed)
+    assert {(i, i + n // 2) for i in range(n // 2) if component[i] != component[i + n // 2]} <= set(listed)
+
+
 def test_sentencepiece_is_the_library(spark):
     model, rng = sentencepiece_lattice.Model.read(), random.Random(1)
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
