@@ -4,10 +4,12 @@ A rule names a host (and fits its subdomains) and the beginning of a path; of th
 The trees judge the rest.  They are trained from labelled urls: those whose host holds a term of a seed list are labelled
 ``block``, and as many others again ``allow``, by the hash of the url and MAX_LABELLED at most.  (The rules are no labels:
 they speak of languages and domains, and trees trained on them block whatever they do not know.)  The terms are never
-features; those are lengths, depth, digits, entropy, parameters and statistics of the host's suffix.
+features; those are lengths, depth, digits, entropy, parameters and statistics of the host's suffix (last two labels).
+The sample bounds what the trees are fitted on; the statistics count all distinct labelled urls of every suffix, and are joined to
+the sample and to the pages.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and is judged by its features
-like any other; urls that repeat are judged alike (and count once in the sample); without labelled urls of both verdicts all
+like any other; urls that repeat are judged alike (and count once in sample and statistics); without labelled urls of both verdicts all
 others are allowed; an empty table gives an empty result; other columns stay and clashing names are replaced.
 """
 
@@ -19,14 +21,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import salted_lookup, written
+
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Terms of hosts that label a url ``block``.
 SEED_TERMS = ("casino", "pills", "spam", "viagra", "porn", "xxx", "loan", "betting", "lottery", "poker", "replica", "jackpot", "payday")
 #: Bound of the labelled sample; trees, their depth, the cuts tried for a feature, and the step.
 MAX_LABELLED, TREES, LEVELS, CUTS, RATE = 20_000, 40, 3, 16, 0.2
-#: Suffixes (last two labels of a host) that the model has statistics of, at most, by how many labelled urls they have.
-MAX_SUFFIXES = 200
+#: Urls of the overall share of blocked ones that are added to each suffix.
+PRIOR = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,30 +80,20 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 class Trees:
     """Boosted trees for the probability of ``block``; fitted on the driver from a bounded sample, applied as one SQL expression."""
 
-    def __init__(self, names: list[str], rows: np.ndarray, suffixes: list[str], blocked: np.ndarray, trees: int = TREES, levels: int = LEVELS):
+    def __init__(self, names: list[str], rows: np.ndarray, suffixes: list[str], blocked: np.ndarray, trees: int = TREES, levels: int = LEVELS, seen: dict[str, tuple[float, float]] | None = None):
         self.names = [*names, "suffix_count", "suffix_blocked"]
         share = float(blocked.mean()) if len(blocked) else 0.0
         self.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        seen: dict[str, list[float]] = {}
-        for s, y in zip(suffixes, blocked.tolist(), strict=True):
-            own = seen.setdefault(s, [0.0, 0.0])
-            own[0] += 1
-            own[1] += y
-        top = sorted(seen, key=lambda s: (-seen[s][0], s))[:MAX_SUFFIXES]
-        #: suffix: log of its labelled urls, and its smoothed share of blocked ones
-        self.suffixes = {s: (float(np.log1p(seen[s][0])), (seen[s][1] + 4 * share) / (seen[s][0] + 4)) for s in top}
-        self.share = share
+        #: Table of (__s, __n, __b), which are a suffix and its two statistics, and the statistics of a suffix that isn't in it.
+        self.statistics: DataFrame | None = None
+        self.unseen = (0.0, share)
         self.trees: list = []
         if not 0 < share < 1:
             return
-        stats = np.array([self.suffixes.get(s, (0.0, share)) for s in suffixes])
+        stats = np.array([(seen or {}).get(s, self.unseen) for s in suffixes])
         x = np.concatenate([rows, stats], 1)
         cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, CUTS + 2)[1:-1])) for k in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)], 1)  # bin <= k: value <= cut k
@@ -135,12 +129,6 @@ class Trees:
         name, cut, low, high = tree
         return f"if(__f.{name} <= {cut!r}D, {self._sql(low)}, {self._sql(high)})"
 
-    def suffix_statistics(self, suffix: str) -> tuple[str, str]:
-        """SQL for the two statistics of a suffix."""
-        if not self.suffixes:
-            return "0D", f"{self.share!r}D"
-        return tuple(f"coalesce(try_element_at(map({', '.join(f'{_quoted(s)}, {v[k]!r}D' for s, v in self.suffixes.items())}), {suffix}), {d!r}D)" for k, d in ((0, 0.0), (1, self.share)))
-
     def probability(self) -> str:
         score = " + ".join([f"{self.bias!r}D", *map(self._sql, self.trees)])
         return f"1 / (1 + exp(-({score})))"
@@ -151,11 +139,19 @@ def fitted(pages: DataFrame, url: str = "url", terms=SEED_TERMS, most: int = MAX
     host, path = host_and_path(F.col("u"))
     rows = one.withColumns({"h": host, "p": path}).withColumn("y", F.col("h").rlike("|".join(terms)).cast("double"))
     features = lexical(F.col("u"), F.col("h"), F.col("p"))
-    wide = lambda df: df.select(suffix_of(F.col("h")).alias("s"), "y", *(c.alias(n) for n, c in features.items()))
+    suffix = suffix_of(F.col("h")).alias("__s")
+    counts, _ = written(rows.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("y").alias("b")), "suffixes")
+    n, b = counts.agg(F.sum("n"), F.sum("b")).first()
+    share = b / n if n else 0.0
+    statistics = counts.select("__s", F.log1p("n").alias("__n"), ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("__b"))
     drawn = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("u"), "u").limit(most // 2) for y in (1.0, 0.0)]
-    found = wide(drawn[0].union(drawn[1])).toArrow()
+    sample = drawn[0].union(drawn[1]).select("u", suffix, "y", *(c.alias(n) for n, c in features.items()))
+    found = statistics.join(F.broadcast(sample), "__s").orderBy(F.desc("y"), F.xxhash64("u"), "u").drop("u").toArrow()
     x = np.stack([found.column(n).to_numpy() for n in features], 1) if found.num_rows else np.zeros((0, len(features)))
-    return Trees(list(features), x, found.column("s").to_pylist(), found.column("y").to_numpy() if found.num_rows else np.zeros(0))
+    seen = dict(zip(found.column("__s").to_pylist(), zip(found.column("__n").to_pylist(), found.column("__b").to_pylist(), strict=True), strict=True))
+    trees = Trees(list(features), x, found.column("__s").to_pylist(), found.column("y").to_numpy() if found.num_rows else np.zeros(0), seen=seen)
+    trees.statistics, trees.unseen = statistics, (0.0, share)
+    return trees
 
 
 def judged(pages: DataFrame, trees: Trees, url: str = "url", rules=RULES) -> DataFrame:
@@ -165,7 +161,8 @@ def judged(pages: DataFrame, trees: Trees, url: str = "url", rules=RULES) -> Dat
     one = pages.select(*kept, F.col(url).alias("__u"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     features = lexical(F.col("__u"), F.col("host"), F.col("path"))
-    count, share = trees.suffix_statistics("substring_index(host, '.', -2)")
-    two = one.select(*kept, "host", "path", name.alias("rule"), verdict.alias("__v"), F.struct(*(c.alias(n) for n, c in features.items()), F.expr(count).alias("suffix_count"), F.expr(share).alias("suffix_blocked")).alias("__f"))
+    one = salted_lookup(one.withColumn("__s", suffix_of(F.col("host"))), trees.statistics, "__s", F.monotonically_increasing_id())
+    known = [F.coalesce(c, F.lit(v)).alias(name) for c, v, name in zip(("__n", "__b"), trees.unseen, trees.names[-2:], strict=True)]
+    two = one.select(*kept, "host", "path", name.alias("rule"), verdict.alias("__v"), F.struct(*(c.alias(n) for n, c in features.items()), *known).alias("__f"))
     three = two.select(*kept, "host", "path", "rule", "__v", F.expr(trees.probability()).alias("block_probability"))
     return three.select(*kept, "host", "path", "rule", "block_probability", F.coalesce("__v", F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")).alias("verdict"))

@@ -257,6 +257,16 @@ def test_trees_learn():
     assert np.mean([(trees.bias + sum(value(t, [*r, 0, 0]) for t in trees.trees) > 0) == bool(v) for r, v in zip(x, y, strict=True)]) > 0.9
 
 
+def test_every_suffix_has_statistics(spark):
+    """Hosts that differ in the order of letters only can be told apart by their domain's statistics alone, also with more domains than 200."""
+    rng = random.Random(2)
+    urls = [f"http://{'casino' if i % 2 else 'noscia'}.{d}.org/{k}" for i, d in enumerate({"".join(rng.sample("bdefghkq", 6)) for _ in range(320)}) for k in range(3)]
+    pages = spark.createDataFrame(list(enumerate([*urls, *urls[:9]])), "page_id long, url string").withColumn("suffix_count", F.lit("mine"))
+    found = url_filter.judged(pages, url_filter.fitted(pages)).collect()
+    assert len(found) == len(urls) + 9 and {r.suffix_count for r in found} == {"mine"}
+    assert [r.url for r in found if (r.verdict == "block") != ("casino" in r.url)] == []
+
+
 def test_decontamination_in_blocks(spark):
     """A benchmark that is cut into blocks gives what one block gives."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
