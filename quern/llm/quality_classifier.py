@@ -29,6 +29,8 @@ from quern.llm.common import trimmed
 MAX_LABELLED, TERMS, DIMENSIONS, NEAREST = 4_000, 4_096, 48, 15
 #: Buckets of each measure of form, and the weight of those terms beside trigrams.
 BUCKETS, FORM_WEIGHT = 8, 0.45
+#: Words in which the length-free share of distinct words is measured.
+WINDOW = 400
 _MEASURES = 7
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -40,6 +42,14 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
+def _distinct_in_windows(marks: np.ndarray) -> float:
+    """The mean share of distinct words over consecutive windows of WINDOW words of a whole text; the last one may be shorter and counts by its words."""
+    window = np.arange(len(marks)) // WINDOW
+    order = np.lexsort((marks, window))
+    marks, window = marks[order], window[order]
+    return float(1 + np.count_nonzero((marks[1:] != marks[:-1]) | (window[1:] != window[:-1]))) / len(marks)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of term counts for each text: trigrams of bytes, then soft buckets of the measures of form."""
     n = len(offsets) - 1
@@ -54,7 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         size = max(b - a, 1)
         x, y = int(w.first[i]), int(w.first[i + 1])
         marks = w.marks[x:y]
-        distinct = len(np.unique(marks[:400])) / len(marks[:400]) if y > x else 0.0
+        distinct = _distinct_in_windows(marks) if y > x else 0.0
         spread = len(np.unique(marks)) / len(marks) if y > x else 0.0
         share = {k: (c[b] - c[a]) / size for k, c in cumulative.items()}
         form = [share["upper"], 4 * share["symbol"], 1 - share["letter"], 8 * share["digit"], 1 - distinct, 1 - spread, np.log1p(y - x) / 12]

@@ -15,6 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from quern.llm import chat, decontamination, near_dedup, pii, quality_classifier, quality_rules, queries, sentencepiece_lattice, sharding, url_filter, warc
+from quern.llm import tokens as K
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -267,6 +268,17 @@ def test_every_suffix_has_statistics(spark):
     assert [r.url for r in found if (r.verdict == "block") != ("casino" in r.url)] == []
 
 
+def test_repetition_after_the_first_window():
+    """The share of distinct words in windows sees the whole text."""
+    fresh = [f"w{k}" for k in range(400)]
+    measured = lambda words: quality_classifier.features(*K.raw(pa.array([" ".join(words)], pa.large_string())))[0, quality_classifier.TERMS + 4 * quality_classifier.BUCKETS :][: quality_classifier.BUCKETS]
+    place = np.arange(quality_classifier.BUCKETS) / (quality_classifier.BUCKETS - 1)
+    assert np.isclose(measured(fresh) @ place, 0)
+    assert np.isclose(measured(fresh + ["w0"] * 800) @ place, 1 - 402 / 1200)
+    assert np.isclose(measured(fresh * 3) @ place, 0)
+    assert np.isclose(measured(fresh + ["x", "x"]) @ place, 1 / 402)
+
+
 def test_decontamination_in_blocks(spark):
     """A benchmark that is cut into blocks gives what one block gives."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
