@@ -199,7 +199,8 @@ def _upsert(e: Engine, _: str) -> DataFrame:
 def _keyed_source(e: Engine, _: str) -> DataFrame:
     path = model_path(e.spark).replace("quern-model", "quern-keyed")
     keyed.write_keyed(e.spark.table("events").select("event_id", "value"), path, "event_id")
-    return e.spark.read.parquet(path).filter("event_id BETWEEN 100 AND 200").select("event_id")
+    keyed.register(e.spark)
+    return e.spark.read.format("quern_keyed").option("path", path).option("key", "event_id").load().filter("event_id BETWEEN 100 AND 200").select("event_id")
 
 
 _query("arrow_checksums", "SELECT sum(l_linenumber)::BIGINT AS sum_l_linenumber, sum(l_orderkey)::BIGINT AS sum_l_orderkey, 0::BIGINT AS nulls_l_linenumber, 0::BIGINT AS nulls_l_orderkey FROM lineitem")(lambda e, _: arrow.checksums(e.spark.table("lineitem"), ["l_linenumber", "l_orderkey"]))

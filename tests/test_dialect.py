@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 
+from quern import queries
 from quern.engine import Engine
 from quern.functions import models
 from quern.operators import store
@@ -143,3 +144,9 @@ def test_stream_upserts(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "t" / "v0")).count() == 2
     assert json.dumps(q.exception() is None) == "true"
+
+
+def test_keyed_scan_reads_the_keyed_source(spark):
+    df = queries.QUERIES["keyed_source_scan"](spark, "/root/testdata/sf0.001")
+    assert "quern_keyed" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.event_id for r in df.collect()) == sorted(r.event_id for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id BETWEEN 100 AND 200").collect())
