@@ -7,11 +7,14 @@ reliable each labeler is for each kind, and a logistic span classifier is traine
 stay; the classifier adds candidates beside them.
 
 Defined cases: a null text counts as an empty one, which has no spans; repeated rows have equal spans; a table without
-candidates adds none; other columns stay and clashing names are replaced.
+candidates adds none; other columns stay and clashing names are replaced.  Very long texts are read whole, in time that
+grows with their length: no pattern tries a run of its characters from more than one place, and marks of spelled addresses
+(``at``, ``dot``) are found first and extended outwards.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,16 +31,20 @@ from quern.llm.common import trimmed
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 #: Fixed values of the base.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+# a match can only begin where a run of digits does: what fails there fails at every later digit of the run
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Looser patterns.
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z0-9-]+)+")
+#: Looser patterns.  A spelled address has its marks in brackets or between spaces.
+_AT = re.compile(r" ?[\[(] ?(?:at|AT) ?[\])] ?| (?:at|AT) ")
+_SPELLED_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?| (?:dot|DOT) )[A-Za-z0-9-]++)++")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?![A-Za-z0-9_+/-])")
 _ANY = re.compile(r"[0-9@]")
+#: The longest local part that an address may have; a longer run before a spelled sign is none.
+MAX_LOCAL = 64
 #: Gazetteers.
 _TLDS = frozenset("com org net edu gov int io co de fr es it uk us eu info biz app dev me".split())
 _DIAL = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "90", "91")
@@ -86,6 +93,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _spelled(text: str) -> list[tuple[str, int, int]]:
+    """Addresses whose signs are spelled: each mark, the run before it that may be a local part, and the host after it."""
+    out, end, at = [], 0, 0
+    while m := _AT.search(text, at):
+        at = m.end() - 1 if m.group().endswith(" ") else m.end()  # a space may lead the next mark too
+        head = text[max(end, m.start() - MAX_LOCAL - 1) : m.start()]
+        size = len(head) - len(head.rstrip(_LOCAL))
+        if 0 < size <= MAX_LOCAL and (found := _SPELLED_HOST.match(text, m.end())):
+            end = at = found.end()
+            out.append(("email", m.start() - size, end))
+    return out
+
+
+def _apart(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of those taken."""
+    ends, starts, reach = [], [], 0
+    for _, a, b in sorted(taken, key=lambda s: s[1]):
+        if starts and a < reach:
+            reach = ends[-1] = max(reach, b)
+        else:
+            starts.append(a)
+            ends.append(b)
+            reach = b
+    free = lambda a, b: (k := bisect.bisect_right(ends, a)) == len(starts) or starts[k] >= b
+    return [s for s in spans if free(s[1], s[2])]
+
+
 def _entropy(text: str) -> float:
     counts = np.array([text.count(c) for c in set(text)], float) / len(text)
     return float(-(counts * np.log2(counts)).sum())
@@ -139,16 +173,16 @@ def candidates(text: str | None) -> list[Candidate]:
     if not text:
         return []
     some = _ANY.search(text) is not None
-    if not some and " dot " not in text and "dot" not in text.lower():
+    spelled = "dot" in text or "DOT" in text
+    if not some and not spelled:
         return []
     base = base_spans(text) if some else []
-    taken = sorted((a, b) for _, a, b in base)
-    more = [("email", *m.span()) for m in _SPELLED.finditer(text)] if re.search(r"(?i)dot", text) else []
+    more = _spelled(text) if spelled else []
     if some:
         more += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
         more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         more += [("secret", *m.span()) for m in _SECRET.finditer(text) if re.search("[0-9]", m.group())]
-    found = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in more if not any(a < y and x < b for x, y in taken)]
+    found = [(k, a, b, True) for k, a, b in base] + [(k, a, b, False) for k, a, b in _apart(more, base)]
     return [Candidate(k, a, b, own, _votes(text, k, a, b, own), min(int(np.log2(b - a)), 7)) for k, a, b, own in found]
 
 
