@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Copies of the unique side of a lookup, so that a key with a third of the rows meets as many tasks.
-SALTS = 16
+#: Rows of one key that go together in a lookup, and keys that may be dealt apart.
+ROWS_A_TASK, HOT_KEYS = 500, 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,11 +61,17 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return and_then_trim
 
 
-def salted_lookup(rows: DataFrame, unique: DataFrame, key: str, spread: Column, salts: int = SALTS) -> DataFrame:
-    """Left join of ``rows`` with ``unique`` (one row for each value of ``key``), rows of one key dealt over ``salts`` tasks.
+def salted_lookup(rows: DataFrame, unique: DataFrame, key: str, spread: Column, count: str) -> DataFrame:
+    """Left join of ``rows`` with ``unique``, which has one row for each value of ``key`` and, in ``count``, the rows that have it; ``count`` isn't kept.
 
-    ``spread`` must differ between rows that have the same key.
+    Rows of a frequent key are dealt over several tasks by ``spread``, which must differ between them, and the key's row of
+    ``unique`` is copied for each: one copy for ROWS_A_TASK rows, so that copies are few beside the rows.  Only the HOT_KEYS
+    most frequent keys are told apart, in a table of that size, which is broadcast: any other key has less than one in
+    HOT_KEYS of all rows.  Rows without a key, which find nothing, are dealt likewise.
     """
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = unique.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = unique.filter(F.col(key).isNotNull() & (F.col(count) > ROWS_A_TASK)).orderBy(F.desc(count)).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col(count) / ROWS_A_TASK).cast("int").alias("__salts")))
+    salts = F.when(F.col(key).isNull(), F.lit(HOT_KEYS)).otherwise(F.coalesce("__salts", F.lit(1)))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    right = unique.drop(count).join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
     return left.join(right, [key, "__salt"], "left").drop("__salt")

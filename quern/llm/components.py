@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import dropped, written
+from quern.llm.common import dropped, salted_lookup, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node sends its (larger, or smaller) neighbours to its smallest one.  Edges have u > v."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = salted_lookup(both, least, "u", F.col("v"), "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        out = salted_lookup(edges, least, "u", F.col("v"), "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): for each node of a link the smallest node that links lead to.
+def components(links: DataFrame, a: str, b: str) -> tuple[DataFrame, str]:
+    """(node, component), as a table, and its path: for each node of a link the smallest node that links lead to.
 
     Links whose ends are equal or null are left out; no links give an empty table.
     """
@@ -36,4 +36,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if (n, total) == before:
             break
         before = (n, total)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out, found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    dropped(spark, path)
+    return out, found

@@ -1,21 +1,25 @@
 """Near-duplicates by MinHash in an LSH forest.
 
 Texts whose shingle sets are equal form a class, and one representative of each class goes on.  TREES sorted orders are
-laid over the representatives' signatures, each led by DEPTH minhashes of its own: two sets of similarity 0.75 lead one
-order alike with probability 0.75 ** DEPTH, so all TREES miss such a pair once in about a million.  Neighbours in an
-order with that common prefix are candidates:
+laid over the representatives' signatures.  An order's own signature is a sequence of DEPTH minhashes that no other order
+has, then 128 one-bit minhashes in a turn of its own; rows are sorted by it, so that a row's neighbours are those with the
+longest common prefix.  Two sets of similarity 0.75 begin one order alike with probability 0.75 ** DEPTH, so all TREES miss
+such a pair once in about a million.
 
-* in a region of up to SMALL rows, all of them (that pass a bound on sizes and an estimate from one-bit minhashes);
-* a denser region, and one that an edge of a range partition may have cut, is first followed along the bits of the
-  sketch, and only nearest neighbours are taken (in parts of REGION rows);
+How deep a prefix makes candidates depends on the region, a run of rows with the first DEPTH minhashes in common:
+
+* in one of up to SMALL rows that prefix is enough: all pairs that pass a bound on sizes and an estimate from the one-bit minhashes;
+* a denser one, and one that an edge of a range partition may have cut, is followed along the order's bits, and the nearest
+  rows on each side, which share the most of them, are taken;
 * after their links are confirmed and components known, such a region is dealt into pieces, and each piece is compared
   with each other piece and itself as one task, all rows with all, but for rows that one component already holds.  Such a
-  row's partners stay a list, which is confirmed in blocks of sets, and one link for each component is enough.  A group
-  of copies thus never yields all its pairs, and no size of a region leaves two of its rows uncompared.
+  row's partners stay a list.  Rows that lists tie together make a cluster; a cluster's sets are confirmed in one task, or, if
+  they are more than a block, block by block, and one link for each component is enough.  A group of copies thus never
+  yields all its pairs, and no size of a region leaves two of its rows uncompared.
 
 Every candidate is confirmed on the full shingle sets.
 
-Defined cases: no words or a null text give the empty set, which links with nothing; a text with fewer words than a
+Defined cases: very long texts are read whole, one at a time; no words or a null text give the empty set, which links with nothing; a text with fewer words than a
 shingle is one shingle; rows with equal doc_id are one node; a null doc_id keeps a null component and stays; other
 columns are left alone.
 """
@@ -23,10 +27,11 @@ columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens as K
@@ -36,10 +41,12 @@ from quern.llm.components import components
 SHINGLE, SIMILAR_PERCENT = 5, 75
 TREES, DEPTH = 36, 4
 HASHES = TREES * DEPTH
-SMALL, NEAREST, REGION = 24, 2, 20_000
+SMALL, NEAREST = 24, 2
+#: Rows of a region that a task holds at a time while it looks for nearest rows.
+HELD = 20_000
 #: Rows in a piece of a region.  Above MANY pieces they grow instead, up to LARGE_PIECE.
 PIECE, MANY, LARGE_PIECE = 512, 32, 8_192
-#: Bytes of sets in a block, of which a task holds two.
+#: Bytes of sets in a block, of which a task holds two; clusters of fewer share bins of about half as many.
 BLOCK_BYTES = 32 << 20
 #: Of 128 one-bit minhashes, those that must agree: sets of similarity 0.75 agree on 112 +- 3.7.
 LEAST_AGREEING = 94
@@ -125,30 +132,29 @@ def _regions(batches: Iterator[pa.RecordBatch], names: list[str], by: tuple[str,
         yield rest, False
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
     """Candidate pairs, and the rows of regions that are dense or not surely whole (b: null)."""
     a, b, dense = [], [], []
     n = 0
 
     def out() -> pa.RecordBatch:
-        names = ["a", "b", "key", "sketch1", "sketch2", "n"]
+        names = ["a", "b", "key", "turn1", "turn2", "n"]
         pairs = [np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)]
-        rows = {c: np.concatenate([r[c] for r in dense]) if dense else np.zeros(0, np.int64) for c in ("rep", "key", "sketch1", "sketch2", "n")}
+        rows = {c: np.concatenate([r[c] for r in dense]) if dense else np.zeros(0, np.int64) for c in ("rep", "key", "turn1", "turn2", "n")}
         p, d = len(pairs[0]), len(rows["rep"])
         none = lambda k: pa.nulls(k, pa.int64())
         columns = [pa.array(np.concatenate([pairs[0], rows["rep"]])), pa.concat_arrays([pa.array(pairs[1], pa.int64()), none(d)])] + [pa.concat_arrays([none(p), pa.array(rows[c], pa.int64())]) for c in names[2:]]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    for region, whole in _regions(batches, ["key", "sketch1", "sketch2", "rep", "n"], most=REGION):
+    for region, whole in _regions(batches, ["key", "turn1", "turn2", "rep", "n"], most=held):
         rep, size = region["rep"], region["n"]
         if whole and len(rep) == 1:
             continue
-        sketch = np.stack([region["sketch1"], region["sketch2"]], 1).view(K.U64)
+        sketch = np.stack([region["turn1"], region["turn2"]], 1).view(K.U64)
         if len(rep) <= SMALL:
             i, j = np.nonzero(np.triu(_passing(sketch, size, slice(None), slice(None)), 1))
         else:
-            turned = np.lexsort((sketch[:, 1], sketch[:, 0])) if int(region["key"][0]) & 1 else np.lexsort((sketch[:, 0], sketch[:, 1]))
-            i, j = _steps(turned)
+            i, j = _steps(len(rep))
             keep = (np.minimum(size[i], size[j]) * 100 >= SIMILAR_PERCENT * np.maximum(size[i], size[j])) & (_agreeing(sketch[i], sketch[j]) >= LEAST_AGREEING)
             i, j = i[keep], j[keep]
         if not whole or len(rep) > SMALL:
@@ -164,23 +170,37 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _steps(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row of an order with the NEAREST rows after it."""
-    return np.concatenate([order[:-k] for k in range(1, NEAREST + 1)]), np.concatenate([order[k:] for k in range(1, NEAREST + 1)])
+def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of n rows of an order with the NEAREST rows after it."""
+    at = np.arange(n)
+    return np.concatenate([at[:-k] for k in range(1, NEAREST + 1)]), np.concatenate([at[k:] for k in range(1, NEAREST + 1)])
+
+
+def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of rows after rows i and j are joined; each root is the first of its rows."""
+    while True:
+        x, y = root[i], root[j]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(root, up := root[root]):
+            root = up
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each two pieces of a region, rows with their larger partners from other components that may be similar."""
-    for rows, _ in _regions(batches, ["key", "low", "high", "piece", "sketch1", "sketch2", "rep", "n", "component"], ("key", "low", "high")):
+    """For each two pieces of a region, rows with their larger partners from other components that may be similar, and rows that these lists tie to another (partners: null)."""
+    names = ["a", "partners", "tie"]
+    for rows, _ in _regions(batches, ["key", "low", "high", "piece", "turn1", "turn2", "rep", "n", "component"], ("key", "low", "high")):
         at = np.argsort(rows["piece"], kind="stable")
         rep, size, part, piece = (rows[c][at] for c in ("rep", "n", "component", "piece"))
-        sketch = np.stack([rows["sketch1"][at], rows["sketch2"][at]], 1).view(K.U64)
+        sketch = np.stack([rows["turn1"][at], rows["turn2"][at]], 1).view(K.U64)
         alone = rows["low"][0] == rows["high"][0]
         upto = len(rep) if alone else int(np.searchsorted(piece, rows["high"][0]))
         others = slice(0 if alone else upto, len(rep))
         if upto == 0 or others.start == len(rep) or (part == part[0]).all():
             continue
-        step = max(1, 2_000_000 // (others.stop - others.start))
+        step, root = max(1, 2_000_000 // (others.stop - others.start)), np.arange(len(rep))
         for first in range(0, upto, step):
             some = slice(first, min(first + step, upto))
             fits = _passing(sketch, size, some, others) & (part[some, None] != part[None, others])
@@ -188,15 +208,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits &= rep[some, None] < rep[None, others]
             i, j = np.nonzero(fits)
             if len(i):
-                x, y = rep[some][i], rep[others][j]
-                a, b = np.minimum(x, y), np.maximum(x, y)
+                i, j = i + first, j + others.start
+                root = _united(root, i, j)
+                a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
                 order = np.argsort(a, kind="stable")
                 full, begin = np.unique(a[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.array(b[order]))], ["a", "partners"])
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.array(b[order])), pa.nulls(len(full), pa.int64())], names)
+        tied = np.flatnonzero(root != np.arange(len(rep)))
+        if len(tied):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.nulls(len(tied), pa.list_(pa.int64())), pa.array(rep[root[tied]])], names)
+
+
+def _turned(tree: Column, first: Column, second: Column) -> tuple[Column, Column]:
+    """128 bits turned by an amount of the tree's own."""
+    a, b = F.when(tree % 2 == 0, first).otherwise(second), F.when(tree % 2 == 0, second).otherwise(first)
+    by = (tree * 37) % 63 + 1  # 37 and 63 have no common factor
+    left = lambda x, y: F.call_function("shiftleft", x, by).bitwiseOR(F.call_function("shiftrightunsigned", y, 64 - by))
+    return left(a, b), left(b, a)
 
 
 def opened(known: DataFrame) -> DataFrame:
-    """Rows (key, sketch1, sketch2, rep, n, component) of the keys with several components, with ``piece`` and the pieces to compare it with.
+    """Rows (key, turn1, turn2, rep, n, component) of the keys with several components, with ``piece`` and the pieces to compare it with.
 
     A component of PIECE rows or more has pieces of its own, which aren't compared with each other; the others of a key share pieces.
     """
@@ -209,17 +241,17 @@ def opened(known: DataFrame) -> DataFrame:
     keys = keys.withColumn("rows", F.expr(f"greatest({PIECE}, least({LARGE_PIECE}, ceil(c / {MANY})))")).withColumn("shared", F.expr("ceil(shared / rows)"))
     keys = keys.withColumn("own", F.expr("transform(own, x -> struct(x.component as component, ceil(x.c / rows) as k))"))
     keys = keys.withColumn("own", F.expr("transform(own, (x, i) -> struct(x.component as component, x.k as k, shared + aggregate(slice(own, 1, i), 0L, (a, y) -> a + y.k) as start))"))
-    keys = keys.select("key", "shared", "own", F.expr("shared + aggregate(own, 0L, (a, y) -> a + y.k)").alias("pieces"))
-    rows = salted_lookup(known, keys, "key", F.col("rep")).filter("pieces is not null").withColumn("mine", F.expr("get(filter(own, x -> x.component = component), 0)"))
+    keys = keys.select("key", "c", "shared", "own", F.expr("shared + aggregate(own, 0L, (a, y) -> a + y.k)").alias("pieces"))
+    rows = salted_lookup(known, keys, "key", F.col("rep"), "c").filter("pieces is not null").withColumn("mine", F.expr("get(filter(own, x -> x.component = component), 0)"))
     rows = rows.withColumn("piece", F.expr("if(mine is null, pmod(xxhash64(rep), shared), mine.start + pmod(xxhash64(rep), mine.k))"))
     others = F.expr("filter(sequence(0L, pieces - 1), q -> mine is null or q < mine.start or q >= mine.start + mine.k)")
-    return rows.select("key", "sketch1", "sketch2", "rep", "n", "component", "piece", others.alias("others"))
+    return rows.select("key", "turn1", "turn2", "rep", "n", "component", "piece", others.alias("others"))
 
 
 def across(order: DataFrame, parts: int) -> DataFrame:
-    """(a, partners) from the rows of opened(): each piece held against each of its others."""
+    """(a, partners, tie) from the rows of opened(): each piece held against each of its others."""
     pairs = order.withColumn("other", F.explode("others")).withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("other", "others")
-    return pairs.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(trimmed(_across), "a long, partners array<long>")
+    return pairs.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(trimmed(_across), "a long, partners array<long>, tie long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +276,17 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar; sets are made for documents in pairs only."""
+def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """The pairs (a, b) whose full shingle sets are similar, as a table, and its path; sets are made for documents in pairs only."""
     spark = docs.sparkSession
     pairs, p1 = written(pairs.distinct(), "pairs")
     needed, p2 = written(pairs.select(F.explode(F.array("a", "b")).alias(doc_id)).distinct(), "needed")
     one = docs.select(doc_id, text).join(needed, doc_id, "left_semi")
     sets, p3 = written(one.mapInArrow(trimmed(_sets), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     joined = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "y"}), "b")
-    links, _ = written(joined.select("a", "b", "x", "y").mapInArrow(trimmed(_confirmed), "a long, b long"), "confirmed")
+    links, path = written(joined.select("a", "b", "x", "y").mapInArrow(trimmed(_confirmed), "a long, b long"), "confirmed")
     dropped(spark, p1, p2, p3)
-    return links
+    return links, path
 
 
 def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -280,52 +312,73 @@ def _block_links(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links (a, b) from rows (a, partners), confirmed on the full shingle sets.
+def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """Links (a, b) from rows (a, partners), confirmed on the full shingle sets, as a table, and its path.
 
-    ``nodes`` has (rep, component) of every document named.  Their sets are dealt into blocks of BLOCK_BYTES, and each pair of
-    blocks is one task, so that neither a pair becomes a row nor a large group one task.
+    ``nodes`` has (rep, component, cluster) of every document named, whose partners are in its cluster.  Clusters of up to
+    BLOCK_BYTES of sets are dealt into bins, of which each is a task.  The sets of a larger one are dealt into blocks, and each
+    two blocks are a task; a row with partners goes only to blocks that hold some of them.  So no pair becomes a row, no set of a
+    smaller cluster is copied, and no group is one task whatever its size.
     """
     spark = docs.sparkSession
     lists, p1 = written(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")), "partners")
-    nodes, p2 = written(nodes.distinct(), "nodes")
     one = docs.select(doc_id, text).join(nodes.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
-    sets, p3 = written(one.mapInArrow(trimmed(_sets), "rep long, shingles binary").dropDuplicates(["rep"]).join(nodes, "rep"), "sets")
-    blocks = max(4, -(-(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // BLOCK_BYTES))
-    block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = lists.join(sets.select(F.col("rep").alias("a"), "shingles"), "a").select("a", "shingles", "partners", block("a").alias("i"), F.explode(every).alias("j"))
-    right = spark.read.schema(sets.schema).parquet(p3).select("rep", "shingles", "component", F.explode(every).alias("i"), block("rep").alias("j"))
-    links, _ = written(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_links, "a long, b long"), "confirmed")
-    dropped(spark, p1, p2, p3)
-    return links
+    sets, p2 = written(one.mapInArrow(trimmed(_sets), "rep long, shingles binary").dropDuplicates(["rep"]).join(nodes, "rep"), "sets")
+    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("rows"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // BLOCK_BYTES))
+    cuts = sizes.select("cluster", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / BLOCK_BYTES).alias("cuts"), "rows")
+
+    def dealt() -> DataFrame:
+        own = salted_lookup(spark.read.schema(sets.schema).parquet(p2), cuts, "cluster", F.col("rep"), "rows").withColumn("big", F.col("cuts") > 1)
+        return own.withColumn("bin", F.when(F.col("big"), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins)))).withColumn("block", F.expr("pmod(xxhash64(rep), cuts)"))
+
+    right = dealt().select("big", "bin", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("i"), F.col("block").alias("j"), "rep", "shingles", "component")
+    of_block = F.expr("filter(transform(sequence(0L, cuts - 1), j -> struct(j as j, if(cuts = 1, partners, filter(partners, p -> pmod(xxhash64(p), cuts) = j)) as partners)), x -> size(x.partners) > 0)")
+    left = lists.join(dealt().withColumnRenamed("rep", "a"), "a").select("big", "bin", F.col("block").alias("i"), "a", "shingles", F.explode(of_block).alias("x")).select("big", "bin", "i", "x.j", "a", "shingles", "x.partners")
+    task = ["big", "bin", "i", "j"]
+    links, path = written(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(_block_links, "a long, b long"), "confirmed")
+    dropped(spark, p1, p2)
+    return links, path
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
+    """(doc_id, n_shingles, component_id, kept), as a table: kept is true for the smallest doc_id of each component."""
     spark = docs.sparkSession
     signed, signed_path = written(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(trimmed(_signatures), "doc_id long, n_shingles long, mark1 long, mark2 long, sketch1 long, sketch2 long, keys array<long>"), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("mark1", "mark2", "n_shingles").agg(F.min_by(F.struct(F.col("doc_id").alias("rep"), "sketch1", "sketch2", "keys"), "doc_id").alias("r")).select("mark1", "mark2", "n_shingles", "r.*")
+    classes = full.groupBy("mark1", "mark2", "n_shingles").agg(F.min_by(F.struct(F.col("doc_id").alias("rep"), "sketch1", "sketch2", "keys"), "doc_id").alias("r"), F.count("*").alias("rows")).select("mark1", "mark2", "n_shingles", "rows", "r.*")
     classes, classes_path = written(classes, "classes")
-    rows = classes.select(F.explode("keys").alias("key"), "sketch1", "sketch2", "rep", F.col("n_shingles").alias("n"))
+    flat = classes.select(F.posexplode("keys").alias("tree", "key"), "sketch1", "sketch2", "rep", F.col("n_shingles").alias("n"))
+    turn1, turn2 = _turned(F.col("tree"), F.col("sketch1"), F.col("sketch2"))
+    rows = flat.select("key", turn1.alias("turn1"), turn2.alias("turn2"), "rep", "n")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = rows.repartitionByRange(parts, "key", "sketch1").sortWithinPartitions("key", "sketch1", "sketch2")
-    near, near_path = written(order.mapInArrow(trimmed(_neighbours), "a long, b long, key long, sketch1 long, sketch2 long, n long"), "near")
-    links = confirmed(near.filter("b is not null").select("a", "b"), docs, doc_id, text)
+    order = rows.repartitionByRange(parts, "key", "turn1").sortWithinPartitions("key", "turn1", "turn2")
+    near, near_path = written(order.mapInArrow(trimmed(partial(_neighbours, held=HELD)), "a long, b long, key long, turn1 long, turn2 long, n long"), "near")
+    links, links_path = confirmed(near.filter("b is not null").select("a", "b"), docs, doc_id, text)
+    gone = [signed_path, classes_path, near_path, links_path]
     dense = near.filter("b is null")
     if not dense.isEmpty():
-        first = components(links, "a", "b").withColumnsRenamed({"node": "rep"})
-        known = dense.withColumnRenamed("a", "rep").drop("b").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        order, order_path = written(opened(known), "open")
-        links = links.union(confirmed_lists(across(order, parts), order.select("rep", "component"), docs, doc_id, text))
-        dropped(spark, order_path)
-    found, _ = written(components(links, "a", "b"), "components")
-    of_class = classes.select("mark1", "mark2", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("mark1", "mark2", "n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"))
+        first, first_path = components(links, "a", "b")
+        known = dense.withColumnRenamed("a", "rep").drop("b").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_rows, open_path = written(opened(known), "open")
+        found, found_path = written(across(open_rows, parts), "across")
+        gone += [first_path, open_path, found_path]
+        if not found.isEmpty():
+            clusters, clusters_path = components(found.filter("tie is not null"), "a", "tie")
+            nodes = open_rows.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+            nodes, nodes_path = written(nodes, "nodes")
+            more, more_path = confirmed_lists(found.filter("partners is not null").select("a", "partners"), nodes, docs, doc_id, text)
+            links = links.union(more)
+            gone += [clusters_path, nodes_path, more_path]
+    whole, whole_path = components(links, "a", "b")
+    of_class = classes.select("mark1", "mark2", "n_shingles", "rep", "rows").join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(F.struct("mark1", "mark2", "n_shingles").alias("k"), F.coalesce("component", "rep").alias("component"), "rows")
     each = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("mark1", "mark2", "n_shingles")).alias("k"))
-    out = salted_lookup(each, of_class, "k", F.col("doc_id"))
+    out = salted_lookup(each, of_class, "k", F.col("doc_id"), "rows")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    dropped(spark, near_path)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out, _ = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    dropped(spark, *gone, whole_path)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

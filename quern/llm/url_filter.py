@@ -143,7 +143,7 @@ def fitted(pages: DataFrame, url: str = "url", terms=SEED_TERMS, most: int = MAX
     counts, _ = written(rows.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("y").alias("b")), "suffixes")
     n, b = counts.agg(F.sum("n"), F.sum("b")).first()
     share = b / n if n else 0.0
-    statistics = counts.select("__s", F.log1p("n").alias("__n"), ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("__b"))
+    statistics = counts.select("__s", F.col("n").alias("__rows"), F.log1p("n").alias("__n"), ((F.col("b") + PRIOR * share) / (F.col("n") + PRIOR)).alias("__b"))
     drawn = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("u"), "u").limit(most // 2) for y in (1.0, 0.0)]
     sample = drawn[0].union(drawn[1]).select("u", suffix, "y", *(c.alias(n) for n, c in features.items()))
     found = statistics.join(F.broadcast(sample), "__s").orderBy(F.desc("y"), F.xxhash64("u"), "u").drop("u").toArrow()
@@ -161,7 +161,7 @@ def judged(pages: DataFrame, trees: Trees, url: str = "url", rules=RULES) -> Dat
     one = pages.select(*kept, F.col(url).alias("__u"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     features = lexical(F.col("__u"), F.col("host"), F.col("path"))
-    one = salted_lookup(one.withColumn("__s", suffix_of(F.col("host"))), trees.statistics, "__s", F.monotonically_increasing_id())
+    one = salted_lookup(one.withColumn("__s", suffix_of(F.col("host"))), trees.statistics, "__s", F.monotonically_increasing_id(), "__rows")
     known = [F.coalesce(c, F.lit(v)).alias(name) for c, v, name in zip(("__n", "__b"), trees.unseen, trees.names[-2:], strict=True)]
     two = one.select(*kept, "host", "path", name.alias("rule"), verdict.alias("__v"), F.struct(*(c.alias(n) for n, c in features.items()), *known).alias("__f"))
     three = two.select(*kept, "host", "path", "rule", "__v", F.expr(trees.probability()).alias("block_probability"))

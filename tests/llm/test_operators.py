@@ -111,7 +111,7 @@ def test_rows_at_partition_edges_stay_open():
     rng = np.random.default_rng(3)
     sketch = rng.integers(-(1 << 62), 1 << 62, (2, 30))
     key = np.repeat([1, 2, 3], [10, 10, 10])
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sketch, np.arange(30), np.full(30, 9))], ["key", "sketch1", "sketch2", "rep", "n"])
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sketch, np.arange(30), np.full(30, 9))], ["key", "turn1", "turn2", "rep", "n"])
     rows = pa.Table.from_batches(list(near_dedup._neighbours(iter([batch.slice(0, 5), batch.slice(5)])))).to_pylist()
     assert sorted(r["a"] for r in rows if r["b"] is None) == [*range(10), *range(20, 30)]
     alone = pa.Table.from_batches(list(near_dedup._neighbours(iter([batch.slice(0, 1)])))).to_pylist()
@@ -126,10 +126,46 @@ def test_all_pairs_of_a_large_region(spark, many_partitions):
     sketch[n // 2 :] = sketch[: n // 2] ^ np.array([1 << 63, 1 << 5], np.uint64)
     component = np.where(np.arange(n) % 3 == 0, 3, np.arange(n))
     rows = list(zip([7] * n, *(c.tolist() for c in (sketch.view(np.int64)[:, 0], sketch.view(np.int64)[:, 1], np.arange(n), np.full(n, 100), component)), strict=True))
-    known = spark.createDataFrame(rows, "key long, sketch1 long, sketch2 long, rep long, n long, component long")
-    listed = [(r.a, b) for r in near_dedup.across(near_dedup.opened(known), 200).collect() for b in r.partners]
+    known = spark.createDataFrame(rows, "key long, turn1 long, turn2 long, rep long, n long, component long")
+    found = near_dedup.across(near_dedup.opened(known), 200).collect()
+    listed = [(r.a, b) for r in found for b in r.partners or []]
     assert len(listed) == len(set(listed)) and all(a < b for a, b in listed)
     assert {(i, i + n // 2) for i in range(n // 2) if component[i] != component[i + n // 2]} <= set(listed)
+    # rows of a list have one cluster, which the ties alone tell
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        if r.tie is not None:
+            root[top(r.a)] = top(r.tie)
+    assert all(top(a) == top(b) for a, b in listed)
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_BYTES, 40_000])
+def test_leaves_that_only_a_hub_links(spark, many_partitions, monkeypatch, block):
+    """600 texts that are similar to one text and hardly to each other, with parts and pieces of regions, blocks and batches far smaller than the region."""
+    for name, value in (("HELD", 60), ("PIECE", 32), ("LARGE_PIECE", 64), ("MANY", 4), ("BLOCK_BYTES", block)):
+        monkeypatch.setattr(near_dedup, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        rng = random.Random(8)
+        hub = [f"w{k}" for k in range(160)]
+        rows = [(0, " ".join(hub))]
+        for i in range(1, 601):
+            words = list(hub)
+            for k in rng.sample(range(5, 155, 10), 4):
+                words[k] = f"v{i}x{k}"
+            rows.append((i, " ".join(words)))
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        brute = brute_components(rows[:120])
+        assert {c for _, c in brute.values()} == {0}
+        assert {(r.component_id, r.kept) for r in found if r.doc_id} == {(0, False)} and len(found) == 601
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_sentencepiece_is_the_library(spark):
