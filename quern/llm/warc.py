@@ -11,7 +11,8 @@ holds the sum against the total length, and takes the chunks off.
 
 Defined cases: a null html is an empty payload; rows that repeat a page_id and payload are all responses if that is the smallest
 page_id, else all revisits; a null page_id counts as larger than any other; records that are cut short, out of order or of the wrong length come back with
-``whole`` false and no payload; an empty table gives archives without records; other columns aren't archived.
+``whole`` false and no payload; very long payloads are cut into segments and chunks whose number grows with them, and each byte is copied a
+fixed number of times; an empty table gives archives without records; other columns aren't archived.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def _bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
+def joined(parts: Column) -> Column:
+    """The bytes of an array of byte strings, copied once; as strings they stay the bytes they are."""
+    return F.array_join(F.transform(parts, lambda p: p.cast("string")), "").cast("binary")
+
+
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_digest, record_type, refers_to).
 
@@ -52,8 +58,8 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     payload's rows dealt over many tasks.
     """
     one = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _bytes(F.coalesce(html, F.lit(""))).alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    firsts = one.filter(F.octet_length("payload") >= LEAST_REVISITED).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    out = salted_lookup(one, firsts, "payload_digest", F.col("page_id"))
+    firsts = one.filter(F.octet_length("payload") >= LEAST_REVISITED).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    out = salted_lookup(one, firsts, "payload_digest", F.col("page_id"), "__n")
     again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
     return out.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"))
 
@@ -64,7 +70,7 @@ def records(typed: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
     size = F.octet_length("payload")
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))
     chunks = F.transform(starts, lambda a: F.concat(_bytes(F.concat(F.lower(F.hex(F.least(F.lit(chunk), size - a))), F.lit("\r\n"))), F.substring("payload", a + 1, F.lit(chunk)), F.lit(b"\r\n")))
-    chunked = F.aggregate(chunks, F.lit(b""), lambda acc, c: F.concat(acc, c))
+    chunked = joined(chunks)
     head = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n")
     block = F.when(F.col("record_type") == "response", F.concat(_bytes(head), chunked, F.lit(b"0\r\n\r\n"))).otherwise(_bytes(head))
     common = F.concat(
@@ -183,9 +189,9 @@ def reassembled(found: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         *(F.max_by(c, F.when(F.col("record_type").isNotNull(), 1)).alias(c) for c in ("record_type", "page_id", "refers_to", "digest", "length")),
     )
-    joined = F.aggregate(F.transform("parts", lambda p: p["block"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    block = joined(F.transform("parts", lambda p: p["block"]))
     numbered = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))
-    whole = F.when(numbered & (F.octet_length(joined) == F.col("total")), joined)
+    whole = F.when(numbered & (F.octet_length(block) == F.col("total")), block)
     return plain.unionByName(parts.select("origin", "record_type", "page_id", "refers_to", "digest", "length", whole.alias("block")))
 
 
