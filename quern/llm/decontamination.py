@@ -3,83 +3,104 @@
 The n-grams of the benchmark go to the workers as sorted 64-bit fingerprints; a window whose fingerprint is there is
 verified word by word before it counts.  Documents that hold enough items are removed, from the others the hit spans.
 
-The sent set is bounded: a benchmark of more than MAX_WINDOWS windows is cut into blocks, and the documents pass one
-block after the other in the same stage, so that a worker never holds more than a block's set per pass.
-
-Defined cases: a null text has no words; an item or a document without words never hits; repeated items and documents
-each count by their own id (an item_id that occurs twice counts once); null ids stay null and never name an item; an empty
-benchmark leaves every document clean; other columns of the documents stay, clashing names are replaced by the result.
+The set is bounded: the benchmark's windows are a table of fingerprints, words and items, made once and dealt by hash into
+blocks of about MAX_WINDOWS rows.  A benchmark of one block, the usual case, is held against the documents in one pass.  Of
+a larger one each block is fetched, sent and held against all documents on its own, and leaves the hits of the few texts
+that have some; then the hits of all blocks are united and looked up by the texts' hashes.  Neither the driver nor a worker
+ever holds more than one block.
+
+Defined cases: a null text has no words; an item or a document without words never hits; very long texts are read whole, one
+at a time; repeated items and documents each count by their own id (an item_id that occurs twice counts once); null ids stay
+null and never name an item; an empty benchmark leaves every document clean; other columns of the documents stay, clashing
+names are replaced by the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens as K
-from quern.llm.common import trimmed
+from quern.llm.common import dropped, salted_lookup, trimmed, written
 
 #: Words of a window; items that must occur for a document to count as contaminated.
 WINDOW, CONTAMINATED_ITEMS = 8, 2
-#: Windows of the benchmark that are sent to the workers at once (of 16 bytes each, and the items' words).
-MAX_WINDOWS = 2_000_000
+#: Rows (window and item) of a block: each is a fingerprint, eight words and an item, about 100 bytes.
+MAX_WINDOWS = 500_000
 HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> Iterator[dict[int, tuple]]:
-    """For each length of window: sorted fingerprints, the words of each (as bytes), and the item that each comes from."""
-    found: dict[int, dict[tuple, set]] = {}
-    n = 0
-    for name, value in ((r[0], r[1]) for r in benchmark.select(item, text).toLocalIterator()):
-        column = pa.array([value], pa.string())
-        data, offsets = K.raw(column)
-        w = K.words(data, offsets, K.ALPHANUMERIC)
-        own = [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
-        size = min(window, len(own))
-        for k in range(len(own) - size + 1 if size else 0):
-            mark = int(K.mixed((w.marks[k : k + size] * K._PLACES[:size]).sum(dtype=K.U64, keepdims=True) + K.U64(size))[0])
-            found.setdefault(size, {}).setdefault((mark, tuple(own[k : k + size])), set()).add(name)
-            n += 1
-        if n >= most:
-            yield _packed(found)
-            found, n = {}, 0
-    if found:
-        yield _packed(found)
-
-
-def _packed(found: dict[int, dict[tuple, set]]) -> dict[int, tuple]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(item, size, mark, words) of all windows of (item, text)."""
+    for batch in batches:
+        data, offsets = K.raw(batch.column(1))
+        for a, b in K.chunks(offsets):
+            w = K.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], K.ALPHANUMERIC)
+            hashes, first = K.windows(w, window)
+            item, size, marks, words = [], [], [], []
+            for i, n in enumerate(np.diff(w.first).tolist()):
+                if not n:
+                    continue
+                own = [w.data[x:y].tobytes() for x, y in zip(w.starts[w.first[i] : w.first[i + 1]], w.ends[w.first[i] : w.first[i + 1]], strict=True)]
+                mark = hashes[first[i] : first[i + 1]] if n >= window else K.whole(w, i)
+                marks.append(mark)
+                item += [a + i] * len(mark)
+                size += [min(window, n)] * len(mark)
+                words += [b" ".join(own[k : k + window]) for k in range(len(mark))]
+            mark = np.concatenate(marks) if marks else np.zeros(0, K.U64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item, pa.int64())), pa.array(size, pa.int32()), pa.array(mark.view(np.int64)), pa.array(words, pa.binary())], ["item", "size", "mark", "words"])
+
+
+@dataclass
+class Grams:
+    """Windows of one length, sorted by fingerprint: their words, joined by spaces, and the item that each comes from."""
+
+    marks: np.ndarray
+    words: pa.Array
+    items: pa.Array
+
+
+def _packed(rows: pa.Table) -> dict[int, Grams]:
     out = {}
-    for size, grams in found.items():
-        ordered = sorted(grams, key=lambda g: g[0])
-        out[size] = (np.array([g[0] for g in ordered], K.U64), [g[1] for g in ordered], [sorted(x for x in grams[g] if x is not None) for g in ordered])
+    size, mark = rows.column("size").to_numpy(), rows.column("mark").to_numpy().view(K.U64)
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        own = own[np.argsort(mark[own], kind="stable")]
+        out[n] = Grams(mark[own], rows.column("words").take(pa.array(own)).combine_chunks(), rows.column("item").take(pa.array(own)).combine_chunks())
     return out
 
 
-def _scan(data: np.ndarray, offsets: np.ndarray, grams: dict[int, tuple], hit_words: list, items: list, at: int) -> K.Words:
+def _scan(data: np.ndarray, offsets: np.ndarray, grams: dict[int, Grams], hit_words: list, items: list, at: int) -> K.Words:
     """Adds to ``hit_words`` and ``items`` of the texts from ``at`` on."""
     w = K.words(data, offsets, K.ALPHANUMERIC)
-    for size, (marks, texts, names) in grams.items():
+    for size, own in grams.items():
         hashes, first = K.windows(w, size)
-        if not len(hashes) or not len(marks):
+        if not len(hashes):
             continue
-        near = np.minimum(np.searchsorted(marks, hashes), len(marks) - 1)
-        hits = np.flatnonzero(marks[near] == hashes)
+        near = np.minimum(np.searchsorted(own.marks, hashes), len(own.marks) - 1)
+        hits = np.flatnonzero(own.marks[near] == hashes)
         if not len(hits):
             continue
         text = np.searchsorted(first, hits, "right") - 1
         word = hits - first[text] + w.first[text]
         for i, k, g, mark in zip(text.tolist(), word.tolist(), near[hits].tolist(), hashes[hits], strict=True):
-            own = tuple(w.data[a:b].tobytes() for a, b in zip(w.starts[k : k + size], w.ends[k : k + size], strict=True))
-            while g < len(marks) and marks[g] == mark:
-                if texts[g] == own:
-                    items[at + i].update(names[g])
-                    hit_words[at + i].append((k - int(w.first[i]), k - int(w.first[i]) + size))
+            words, found = b" ".join(w.data[a:b].tobytes() for a, b in zip(w.starts[k : k + size], w.ends[k : k + size], strict=True)), False
+            while g < len(own.marks) and own.marks[g] == mark:
+                if own.words[g].as_py() == words:
+                    found = True
+                    if (item := own.items[g].as_py()) is not None:
+                        items[at + i].add(item)
                 g += 1
+            if found:
+                hit_words[at + i].append((k - int(w.first[i]), k - int(w.first[i]) + size))
     return w
 
 
@@ -96,17 +117,42 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS, clean: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids (those found, sorted as strings), hits (spans of words) and, if ``clean``, clean_text (without them)."""
     own = ["n_words", "n_hit", "item_ids", "hits", "clean_text"]
-    kept = [c for c in docs.columns if c.lower() not in own]
-    blocks = list(_blocks(benchmark, item, item_text, window, max_windows)) or [{}]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hits", HITS)] + [T.StructField("clean_text", T.StringType())] * clean)
-    out = docs.select(*kept)
-    for k, grams in enumerate(blocks):
-        out = out.mapInArrow(trimmed(_pass(grams, text, k == 0, clean and k == len(blocks) - 1)), T.StructType([f for f in schema if f.name != "clean_text" or k == len(blocks) - 1]))
-    return out
-
+    spark, kept = docs.sparkSession, [c for c in docs.columns if c.lower() not in own]
+    found = benchmark.select(F.col(item).cast("string").alias("item"), item_text).mapInArrow(trimmed(partial(_cut, window=window)), "item string, size int, mark long, words binary")
+    windows, path = written(found.distinct(), "windows")
+    blocks = max(1, -(-windows.count() // max_windows))
+    fetched = lambda k: spark.sparkContext.broadcast(_packed(windows.filter(F.pmod(F.xxhash64("mark", "item"), F.lit(blocks)) == k).toArrow()))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hits", HITS)]
+    schema = T.StructType([docs.schema[c] for c in kept] + fields + [T.StructField("clean_text", T.StringType())] * clean)
+    if blocks == 1:
+        only = fetched(0)
+        dropped(spark, path)
+        return docs.select(*kept).mapInArrow(trimmed(_pass(only, text, True, clean)), schema)
+    # two hashes of a text tell it from all others
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    one, parts = docs.select(key.alias("k"), text), []
+    for k in range(blocks):
+        grams = fetched(k)
+        hit = one.mapInArrow(trimmed(_pass(grams, text, True, False)), T.StructType([*one.schema, *fields])).filter(F.size("hits") > 0)
+        part, _ = written(hit.groupBy("k").agg(F.first("hits").alias("hits"), F.first("item_ids").alias("item_ids"), F.count("*").alias("n")), "hits")
+        parts.append(part)
+        grams.destroy()
+    dropped(spark, path)
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.union(part)
+    united = united.groupBy("k").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("n").alias("n"))
+    rows = salted_lookup(docs.select(*kept, key.alias("k")), united, "k", F.monotonically_increasing_id(), "n")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    ready = rows.select(*kept, none("item_ids", T.ArrayType(T.StringType())), none("hits", HITS))
+    return ready.mapInArrow(trimmed(_pass(None, text, False, clean)), schema)
+
+
+def _pass(sent: Broadcast | None, text: str, start: bool, clean: bool):
+    """Holds texts against a block (None: none), from no hits (``start``) or from those that the rows have."""
 
-def _pass(grams: dict[int, tuple], text: str, start: bool, clean: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = sent.value if sent else {}
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             data, offsets = K.raw(column)
