@@ -8,7 +8,8 @@ products in blocks, and each document's NEAREST labelled neighbours vote with th
 Only the training rows and their labels are learnt from; neither id nor language nor source is an input.
 
 Defined cases: a null text counts as an empty one; an empty text has only terms of form, and gets a score like any
-other; repeated rows get equal scores; without labelled rows of both kinds every score is the share of ones (0.5 if there
+other; very long texts are read whole, one at a time; of equally near neighbours those of the smallest doc_id vote; repeated
+rows get scores that differ by less than 1e-5 (blocks of products are rounded differently); without labelled rows of both kinds every score is the share of ones (0.5 if there
 are none); other columns stay and clashing names are replaced.
 """
 
@@ -120,12 +121,21 @@ class Voters:
         for counts in _of_column(column):
             cosines = _unit(_weighted(counts, self.idf) @ self.space) @ self.vectors.T
             k = min(NEAREST, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            near = _nearest(cosines, k)
             votes = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** 4 * self.weights[near]
             out.append((votes * self.labels[near]).sum(1) / votes.sum(1))
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
+def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values; of equal ones the first."""
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosines, near, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((cosines >= least).sum(1) > k):  # a tie at the edge
+        near[i] = np.argsort(-cosines[i], kind="stable")[:k]
+    return near
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
