@@ -51,7 +51,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judged(pages, url_filter.fitted(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judged(pages, url_filter.fitted(url_filter.example_labels(pages))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

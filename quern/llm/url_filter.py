@@ -1,16 +1,18 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 A rule names a host (and fits its subdomains) and the beginning of a path; of the rules that fit, the longest decides.
-The trees judge the rest.  They are trained from labelled urls: those whose host holds a term of a seed list are labelled
-``block``, and as many others again ``allow``, by the hash of the url and MAX_LABELLED at most.  (The rules are no labels:
-they speak of languages and domains, and trees trained on them block whatever they do not know.)  The terms are never
-features; those are lengths, depth, digits, entropy, parameters and statistics of the host's suffix (last two labels).
-The sample bounds what the trees are fitted on; the statistics count all distinct labelled urls of every suffix, and are joined to
-the sample and to the pages.
+The trees judge the rest.  They are trained from labelled urls, a table of (url, blocked) that the caller gives; ``example_labels``
+makes one where there is none: urls of pages whose host holds a term of a seed list are blocked, their others aren't, and urls
+written by rule from word lists are added for both, so that the trees meet the forms of hosts, paths and parameters which a seed
+list doesn't name.  (The rules are no labels: they speak of languages and domains.)  The terms are never features; those are
+lengths, depth, digits, entropy, parameters and statistics of the host's suffix (last two labels).  The sample bounds what the
+trees are fitted on; the statistics count all distinct labelled urls of every suffix, and are joined to the sample and to the
+pages.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, fits no rule and is judged by its features
-like any other; urls that repeat are judged alike (and count once in sample and statistics); without labelled urls of both verdicts all
-others are allowed; an empty table gives an empty result; other columns stay and clashing names are replaced.
+like any other; very long urls are measured whole; urls that repeat are judged alike (a url that is labelled both ways is
+blocked, and one counts once in sample and statistics); without labelled urls of both verdicts all others are allowed; an empty
+table gives an empty result; other columns stay and clashing names are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from quern.llm.common import salted_lookup, written
 
 #: Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Terms of hosts that label a url ``block``.
+#: Terms of hosts that label a url as blocked.
 SEED_TERMS = ("casino", "pills", "spam", "viagra", "porn", "xxx", "loan", "betting", "lottery", "poker", "replica", "jackpot", "payday")
+#: Written labels, and what their words are made of.
+WRITTEN = 4_000
+_SYLLABLES = ("ba", "ther", "in", "lo", "ti", "re", "mon", "sta", "ver", "ne", "ard", "col", "ing", "pra", "den", "wil", "ost", "th", "sh", "ble", "ca", "rum")
 #: Bound of the labelled sample; trees, their depth, the cuts tried for a feature, and the step.
 MAX_LABELLED, TREES, LEVELS, CUTS, RATE = 20_000, 40, 3, 16, 0.2
 #: Urls of the overall share of blocked ones that are added to each suffix.
@@ -134,10 +139,41 @@ class Trees:
         return f"1 / (1 + exp(-({score})))"
 
 
-def fitted(pages: DataFrame, url: str = "url", terms=SEED_TERMS, most: int = MAX_LABELLED) -> Trees:
-    one = pages.select(F.col(url).alias("u")).filter("u is not null").distinct()
+def written_labels(n: int = WRITTEN, seed: int = 17) -> list[tuple[str, float]]:
+    """(url, blocked), half of each, by rule: hosts that chain words or mix them with digits, long parameters and deep paths mostly belong to the blocked."""
+    rng, out = np.random.default_rng(seed), []
+    pick, chance = lambda words: words[rng.integers(len(words))], lambda p: rng.random() < p
+    plain = lambda: "".join(pick(_SYLLABLES) for _ in range(rng.integers(2, 4)))
+    for k in range(n):
+        bad = k % 2 == 1
+        word = pick(SEED_TERMS) if bad and chance(0.4) else plain()
+        if chance(0.8 if bad else 0.06):
+            word += "-" + (pick(SEED_TERMS) if bad and chance(0.3) else plain()[: rng.integers(1, 6)]) + ("-" + plain() if bad and chance(0.3) else "")
+        if chance(0.35 if bad else 0.03):
+            word += str(rng.integers(1, 10_000))
+        host = pick(("", "", "www.", "m.", "blog.", "shop.")) + word + pick(("", ".example", ".example")) + pick((".com", ".net", ".org", ".info"))
+        path = "/" + pick(("en", "de", "fr", "es", "news", "blog")) + f"/{rng.integers(10_000)}" + pick(("", "/", ".html"))
+        if chance(0.35 if bad else 0.05):
+            path += "/" + "/".join(plain() for _ in range(rng.integers(1, 5)))
+        query = ""
+        if chance(0.5 if bad else 0.3):
+            query = "?" + "&".join(f"{plain()[:4]}={rng.integers(1 << 30) if bad else rng.integers(100)}" for _ in range(rng.integers(2, 6) if bad else rng.integers(1, 3)))
+        out.append((pick(("http", "https")) + "://" + host + path + query + pick(("", "", "#top")), float(bad)))
+    return out
+
+
+def example_labels(pages: DataFrame, url: str = "url", terms=SEED_TERMS, n: int = WRITTEN) -> DataFrame:
+    """Labelled urls (url, blocked): those of pages by the seed list, and written ones."""
+    own = pages.select(F.col(url).alias("url")).filter("url is not null")
+    own = own.withColumn("blocked", host_and_path(F.col("url"))[0].rlike("|".join(terms)).cast("double"))
+    return own.union(pages.sparkSession.createDataFrame(written_labels(n), own.schema))
+
+
+def fitted(labelled: DataFrame, most: int = MAX_LABELLED) -> Trees:
+    """From labelled urls (url, blocked: 1 or 0); the trees learn from at most ``most`` of them, half of each verdict, by the hash of the url."""
+    one = labelled.filter("url is not null and blocked in (0, 1)").groupBy(F.col("url").alias("u")).agg(F.max("blocked").cast("double").alias("y"))
     host, path = host_and_path(F.col("u"))
-    rows = one.withColumns({"h": host, "p": path}).withColumn("y", F.col("h").rlike("|".join(terms)).cast("double"))
+    rows = one.withColumns({"h": host, "p": path})
     features = lexical(F.col("u"), F.col("h"), F.col("p"))
     suffix = suffix_of(F.col("h")).alias("__s")
     counts, _ = written(rows.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("y").alias("b")), "suffixes")

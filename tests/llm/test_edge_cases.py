@@ -72,10 +72,10 @@ def test_every_reply_is_trained_once(spark):
 def test_urls_of_odd_pages(spark):
     urls = [None, "", "://", "http://", "http://a.net/es/" + "x" * 50_000, "http://a.net/es/", "http://a.net/es/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("mine"), "Verdict": F.lit("mine"), "more": F.lit("stays")})
-    rows = url_filter.judged(pages, url_filter.fitted(pages)).collect()
+    rows = url_filter.judged(pages, url_filter.fitted(url_filter.example_labels(pages))).collect()
     assert [(r.page_id, r.host, r.rule, r.verdict) for r in rows[:4]] == [(k, "", None, "allow") for k in range(4)]
     assert [(r.rule, r.verdict, r.more) for r in rows[4:]] == [("net/es/", "block", "stays")] * 3
-    assert url_filter.judged(pages.limit(0), url_filter.fitted(pages.limit(0))).count() == 0
+    assert url_filter.judged(pages.limit(0), url_filter.fitted(url_filter.example_labels(pages.limit(0), n=0))).count() == 0
 
 
 def test_sentencepiece_of_odd_rows(spark):
