@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontamination, near_dedup, pii, quality_rules, sentencepiece_lattice
-from quern.llm.common import written
+from quern.llm.common import dropped, made, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,16 @@ STAGES = [
     ("sentencepiece", sentencepiece_ids),
 ]
 
-#: Neither the span classifier nor the fold of pieces can be expressed in SQL; the tests compare run() in part with brute force.
+#: Neither the span classifier nor the fold of pieces can be expressed in SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's table, and what its operators wrote for it, goes when the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        before = made()
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        dropped(spark, *(made() - before - {path}), *last)
+        last = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
