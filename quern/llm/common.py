@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch (but for a longer text, which is one).
+BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of one key that go together in a lookup, and keys that may be dealt apart.
 ROWS_A_TASK, HOT_KEYS = 500, 1_000
 
@@ -33,21 +35,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that were written and not yet dropped.
+_made: set[str] = set()
+
+
+def made() -> set[str]:
+    return set(_made)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     path = new_path(df.sparkSession, name)
+    _made.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
+        _made.discard(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for mapInArrow, after whose end the worker gives freed memory back: workers wait for other tasks and keep what they hold."""
+    """``run`` for mapInArrow, after whose end the worker gives freed memory back: workers wait for other tasks and keep what they hold.
+
+    Batches of the session, of which worker and executor hold several, are bounded by BATCH_BYTES unless it sets its own bound.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
 
     def and_then_trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

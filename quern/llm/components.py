@@ -1,22 +1,25 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps on tables."""
+"""Connected components of a graph of links, by alternating large-star and small-star steps on tables.
+
+A hub's smallest neighbour is found with partial sums, and its rows in the joins are those that adaptive execution splits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import dropped, salted_lookup, written
+from quern.llm.common import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node sends its (larger, or smaller) neighbours to its smallest one.  Edges have u > v."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        out = salted_lookup(both, least, "u", F.col("v"), "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        out = salted_lookup(edges, least, "u", F.col("v"), "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u <> v").distinct()
 
 

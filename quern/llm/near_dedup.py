@@ -13,7 +13,7 @@ How deep a prefix makes candidates depends on the region, a run of rows with the
   rows on each side, which share the most of them, are taken;
 * after their links are confirmed and components known, such a region is dealt into pieces, and each piece is compared
   with each other piece and itself as one task, all rows with all, but for rows that one component already holds.  Such a
-  row's partners stay a list.  Rows that lists tie together make a cluster; a cluster's sets are confirmed in one task, or, if
+  row's partners stay a list.  Components that lists tie together make a cluster; its listed rows' sets are confirmed in one task, or, if
   they are more than a block, block by block, and one link for each component is enough.  A group of copies thus never
   yields all its pairs, and no size of a region leaves two of its rows uncompared.
 
@@ -46,6 +46,8 @@ SMALL, NEAREST = 24, 2
 HELD = 20_000
 #: Rows in a piece of a region.  Above MANY pieces they grow instead, up to LARGE_PIECE.
 PIECE, MANY, LARGE_PIECE = 512, 32, 8_192
+#: Pairs of rows that a task compares at a time.
+CELLS = 250_000
 #: Bytes of sets in a block, of which a task holds two; clusters of fewer share bins of about half as many.
 BLOCK_BYTES = 32 << 20
 #: Of 128 one-bit minhashes, those that must agree: sets of similarity 0.75 agree on 112 +- 3.7.
@@ -189,8 +191,11 @@ def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each two pieces of a region, rows with their larger partners from other components that may be similar, and rows that these lists tie to another (partners: null)."""
-    names = ["a", "partners", "tie"]
+    """For each two pieces of a region, rows with their larger partners from other components that may be similar.
+
+    Every row of these lists comes out too, with its component and the smallest component that they tie it to (partners: null).
+    """
+    names = ["a", "partners", "component", "tie"]
     for rows, _ in _regions(batches, ["key", "low", "high", "piece", "turn1", "turn2", "rep", "n", "component"], ("key", "low", "high")):
         at = np.argsort(rows["piece"], kind="stable")
         rep, size, part, piece = (rows[c][at] for c in ("rep", "n", "component", "piece"))
@@ -200,7 +205,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = slice(0 if alone else upto, len(rep))
         if upto == 0 or others.start == len(rep) or (part == part[0]).all():
             continue
-        step, root = max(1, 2_000_000 // (others.stop - others.start)), np.arange(len(rep))
+        step, (own, code) = max(1, CELLS // (others.stop - others.start)), np.unique(part, return_inverse=True)
+        root, listed = np.arange(len(own)), np.zeros(len(rep), bool)
         for first in range(0, upto, step):
             some = slice(first, min(first + step, upto))
             fits = _passing(sketch, size, some, others) & (part[some, None] != part[None, others])
@@ -209,14 +215,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.nonzero(fits)
             if len(i):
                 i, j = i + first, j + others.start
-                root = _united(root, i, j)
+                root = _united(root, code[i], code[j])
+                listed[i] = listed[j] = True
                 a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
                 order = np.argsort(a, kind="stable")
                 full, begin = np.unique(a[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(full), pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.array(b[order])), pa.nulls(len(full), pa.int64())], names)
-        tied = np.flatnonzero(root != np.arange(len(rep)))
-        if len(tied):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.nulls(len(tied), pa.list_(pa.int64())), pa.array(rep[root[tied]])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.ListArray.from_arrays(pa.array(np.append(begin, len(a)).astype(np.int32)), pa.array(b[order])), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64())], names)
+        at = np.flatnonzero(listed)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(part[at]), pa.array(own[root[code[at]]])], names)
 
 
 def _turned(tree: Column, first: Column, second: Column) -> tuple[Column, Column]:
@@ -249,9 +256,9 @@ def opened(known: DataFrame) -> DataFrame:
 
 
 def across(order: DataFrame, parts: int) -> DataFrame:
-    """(a, partners, tie) from the rows of opened(): each piece held against each of its others."""
+    """(a, partners, component, tie) from the rows of opened(): each piece held against each of its others."""
     pairs = order.withColumn("other", F.explode("others")).withColumns({"low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("other", "others")
-    return pairs.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(trimmed(_across), "a long, partners array<long>, tie long")
+    return pairs.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(trimmed(_across), "a long, partners array<long>, component long, tie long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +372,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         found, found_path = written(across(open_rows, parts), "across")
         gone += [first_path, open_path, found_path]
         if not found.isEmpty():
-            clusters, clusters_path = components(found.filter("tie is not null"), "a", "tie")
-            nodes = open_rows.select("rep", "component").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+            clusters, clusters_path = components(found.select("component", "tie"), "component", "tie")
+            listed = found.filter("partners is null").select(F.col("a").alias("rep"), "component").distinct()
+            nodes = listed.join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component").select("rep", "component", "cluster")
             nodes, nodes_path = written(nodes, "nodes")
             more, more_path = confirmed_lists(found.filter("partners is not null").select("a", "partners"), nodes, docs, doc_id, text)
             links = links.union(more)

@@ -131,7 +131,7 @@ def test_all_pairs_of_a_large_region(spark, many_partitions):
     listed = [(r.a, b) for r in found for b in r.partners or []]
     assert len(listed) == len(set(listed)) and all(a < b for a, b in listed)
     assert {(i, i + n // 2) for i in range(n // 2) if component[i] != component[i + n // 2]} <= set(listed)
-    # rows of a list have one cluster, which the ties alone tell
+    # rows of a list have one cluster, which the ties of components alone tell
     root = {}
 
     def top(x):
@@ -141,8 +141,10 @@ def test_all_pairs_of_a_large_region(spark, many_partitions):
 
     for r in found:
         if r.tie is not None:
-            root[top(r.a)] = top(r.tie)
-    assert all(top(a) == top(b) for a, b in listed)
+            assert r.component == component[r.a]
+            root[top(r.component)] = top(r.tie)
+    assert all(top(component[a]) == top(component[b]) for a, b in listed)
+    assert {i for pair in listed for i in pair} == {r.a for r in found if r.tie is not None}
 
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK_BYTES, 40_000])
@@ -275,7 +277,7 @@ def test_chat_marks_cannot_be_forged(spark):
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/1", "http://www.example.com/en/1", "http://x.net/es/", "net://net/fr/a?b", "http://com", "nothing", None, "http://spam-casino.org/a?x=1", "http://xcom/", "http://m.example.com/EN/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.judged(pages, url_filter.fitted(pages)).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule) for r in url_filter.judged(pages, url_filter.fitted(url_filter.example_labels(pages))).collect()}
     want = [("a.example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("x.net", "/es/", "net/es/"), ("net", "/fr/a", "net/fr/"), ("com", "", None), ("", "", None), ("", "", None), ("spam-casino.org", "/a", None), ("xcom", "/", None), ("m.example.com", "/EN/", "com/")]
     assert got == dict(enumerate(want))
 
@@ -299,7 +301,7 @@ def test_every_suffix_has_statistics(spark):
     rng = random.Random(2)
     urls = [f"http://{'casino' if i % 2 else 'noscia'}.{d}.org/{k}" for i, d in enumerate({"".join(rng.sample("bdefghkq", 6)) for _ in range(320)}) for k in range(3)]
     pages = spark.createDataFrame(list(enumerate([*urls, *urls[:9]])), "page_id long, url string").withColumn("suffix_count", F.lit("mine"))
-    found = url_filter.judged(pages, url_filter.fitted(pages)).collect()
+    found = url_filter.judged(pages, url_filter.fitted(url_filter.example_labels(pages, n=0))).collect()
     assert len(found) == len(urls) + 9 and {r.suffix_count for r in found} == {"mine"}
     assert [r.url for r in found if (r.verdict == "block") != ("casino" in r.url)] == []
 
@@ -324,17 +326,47 @@ def test_decontamination_in_blocks(spark):
     assert again.agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_pipeline_stages(spark):
+def brute_items(text, benchmark):
+    """Items that have a window in a text, and whether each of its words is hit."""
+    cut = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(x))
+    words, items = cut(text), set()
+    hit = [False] * len(words)
+    for name, own in benchmark:
+        own = cut(own)
+        n = min(8, len(own))
+        windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
+        for k in range(len(words) - n + 1):
+            if tuple(words[k : k + n]) in windows:
+                items.add(name)
+                hit[k : k + n] = [True] * n
+    return items, any(hit)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Exactly the documents that every stage must keep come out, and those without hits and personal data unchanged."""
     import corpus_pipeline
 
-    sf = SF
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf)
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = lambda d: "\n".join(f"Line{k} " + " ".join(f"word{d}x{k}x{j}" for j in range(11)) + " ends here." for k in range(30))
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    planted = [(90_000 + k, "\n".join([prose(k), *items[:k]]), "en", "s", 0) for k in range(4)]
+    planted += [(90_010, prose(10) + "\nMail to ann.lee@corp.example.org, please.", "en", "s", 0), (90_011, "short", "en", "s", 0), (90_012, None, None, None, None), (90_013, prose(10) + "\nOne more line that differs.", "en", "s", 0)]
+    given.union(spark.createDataFrame(planted, given.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == [*docs.columns, "ids"]
     kept = {r.doc_id: r for r in out.collect()}
     quality = {r.doc_id: r.text for r in quality_rules.measured(docs).filter("kept").collect()}
-    brute = brute_components(list(quality.items()))
-    assert set(kept) <= {i for i, (_, c) in brute.items() if i == c}
+    alone = [i for i, (_, c) in brute_components(list(quality.items())).items() if i == c]
+    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    found = {i: brute_items(quality[i], benchmark) for i in alone}
+    assert set(kept) == {i for i, (items, _) in found.items() if len(items) < 2}
+    assert any(len(items) >= 2 for items, _ in found.values()) and len(quality) > len(alone)
+    for i, r in kept.items():
+        if not found[i][1] and not pii.candidates(quality[i]):
+            assert r.text == quality[i]
+        assert not brute_items(r.text, benchmark)[1]
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
     assert all(list(r.ids) == library.encode(r.text) for r in kept.values())
     assert not any(pii.base_spans(r.text) for r in kept.values())
