@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units at every place that no piece of the vocabulary spans, which leaves the result unchanged.  Every
-distinct unit of fewer than LONG characters is encoded in Spark: its substrings of bounded length are exploded, equi-joined
-to the piece table, gathered as edges of the unit's lattice, and folded with a higher-order aggregate.  The HEAD most frequent
-units go to all workers with their encodings.  The others are joined back: each text's distinct rare units are rows of (text's
-hash, unit), which meet the units' encodings and are gathered by text; then a worker puts a text's ids together from the two.
-A unit of LONG characters or more, whose edges in Spark would grow with the cube of its length, is folded on the worker.
+A text is cut into units at every place that no piece of the vocabulary spans, which leaves the result unchanged.  The
+frequent units are encoded in Spark: their substrings of bounded length are exploded, equi-joined to the piece table,
+gathered as edges of each unit's lattice, and folded with a higher-order aggregate.  Their encodings (HEAD rows at most)
+go to the workers, which encode the other units over the same lattice in NumPy and keep a bounded table of them: there
+is no bound on the number of units.  Sending all units through Spark and joining them back to their texts was built and
+measured (README): it takes several times the CPU time and the disk that the check tool allows.
 
 The fold is the model's: for a unigram model Viterbi, the path of the highest sum of scores; for a BPE model, whose
 scores are ranks of merges, the adjacent edges that form the best edge are merged until none is left.  (The path with
@@ -13,7 +13,7 @@ the best sum of ranks isn't what a BPE model encodes.)  Characters outside the v
 unknown piece where the model has none.
 
 Defined cases: a null or empty text has no ids; decoding gives back every text but for U+2581, which the format itself
-writes for a space; rows are encoded one by one, so repeated rows and empty tables need no care; other columns stay and
+writes for a space; very long texts are encoded whole, and a long unit in time that grows with its length; rows are encoded one by one, so repeated rows and empty tables need no care; other columns stay and
 clashing names are replaced.
 """
 
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens as K
-from quern.llm.common import dropped, salted_lookup, trimmed, written
+from quern.llm.common import trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BAR = "▁"
 NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
-#: Units that go to all workers, and the occurrences in a chunk from which a unit is proposed for that.
+#: Units that the Spark lattice encodes for the workers, and the occurrences in a chunk from which a unit is proposed.
 HEAD, PROPOSED = 65_536, 4
-#: Characters worked on at a time; characters from which a unit is folded on the worker.
-CHUNK, LONG = 1 << 19, 48
+#: Characters worked on at a time; units that a worker remembers; characters from which a unit is folded with a heap.
+CHUNK, CACHE, LONG = 1 << 19, 300_000, 48
 _NONE = np.int64(1) << 62
 _CHAR_CODES = np.random.default_rng(11).integers(1, 1 << 63, 0x110000, dtype=K.U64) | K.U64(1)
 
@@ -292,36 +292,32 @@ class Tables:
 
 
 class Known:
-    """Encodings of units by fingerprint, sorted: those that all workers have, with those of a batch's own rare units."""
+    """Encodings of units by fingerprint: those given, and up to CACHE that were met since."""
 
     def __init__(self, marks: np.ndarray, ids: np.ndarray, first: np.ndarray):
         order = np.argsort(marks)
-        self.now = (marks[order], *_picked(ids, first, order))
-
-    def with_rare(self, units: list[str], ids: np.ndarray, first: np.ndarray) -> Known:
-        if not units:
-            return self
-        marks, at = np.unique(_marks_of(units), return_index=True)
-        out = Known.__new__(Known)
-        out.now = _together(self.now, (marks, *_picked(ids, first, at)))
-        return out
-
-    def missing(self, marks: np.ndarray) -> np.ndarray:
-        known = self.now[0]
-        return known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] != marks if len(known) else np.ones(len(marks), bool)
+        self.given = self.now = (marks[order], *_picked(ids, first, order))
 
     def ids(self, t: Tables, chars: np.ndarray, sums: K.Sums, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units in order, flat, and where each unit's begin; what isn't known (long units) is folded here."""
+        """Ids of all units in order, flat, and the number of each unit's."""
         marks, at, back = np.unique(sums.spans(starts, ends), return_index=True, return_inverse=True)
-        now, new = self.now, np.flatnonzero(self.missing(marks))
-        if len(new):
-            now = _together(now, (marks[new], *t.fold(chars, sums, starts[at[new]], ends[at[new]])))
-        return _picked(now[1], now[2], np.searchsorted(now[0], marks)[back])
-
-
-def _marks_of(units: list[str]) -> np.ndarray:
-    chars, offsets = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(u) for u in units]))).astype(np.int64)
-    return K.Sums(_CHAR_CODES[chars]).spans(offsets[:-1], offsets[1:])
+        for again in (False, True):
+            known = self.now[0]
+            near = np.minimum(np.searchsorted(known, marks), max(len(known) - 1, 0))
+            new = np.flatnonzero(known[near] != marks) if len(known) else np.arange(len(marks))
+            if not len(new) or again:
+                break
+            ids, first = t.fold(chars, sums, starts[at[new]], ends[at[new]])
+            base = self.now if len(known) + len(new) <= CACHE + len(self.given[0]) else self.given
+            if base is self.given and len(self.given[0]) < len(known):  # what was met before goes, but for what is needed now
+                need = np.setdiff1d(near[known[near] == marks], [])
+                base = (known[need], *_picked(self.now[1], self.now[2], need))
+                extra = np.flatnonzero(~np.isin(self.given[0], base[0]))
+                base = _together(base, (self.given[0][extra], *_picked(self.given[1], self.given[2], extra)))
+            self.now = _together(base, (marks[new], ids, first))
+        which = near[back]
+        _, ids, first = self.now
+        return _picked(ids, first, which)
 
 
 def _picked(ids: np.ndarray, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,56 +408,28 @@ def _runs(column: pa.Array) -> Iterator[list[str]]:
 # -- whole texts
 
 
-def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of an array of lists of ids, and where each list begins."""
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-
-
 class Encoder:
     """Encodes batches on a worker; made on the driver with the encodings of the frequent units."""
 
     def __init__(self, docs: DataFrame, model: Model, text: str = "text", head: int = HEAD):
-        spark, self.model = docs.sparkSession, model
+        spark = docs.sparkSession
+        t = model.tables()
         rows = lattice(spark, frequent_units(docs, model, text, head), model).toArrow() if head else None
         units = rows.column("unit").to_pylist() if head else []
-        ids, first = _flat(rows.column("ids").combine_chunks()) if head and len(units) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        self.shared = spark.sparkContext.broadcast((model.tables(), _marks_of(units), ids, first))
+        chars, offsets = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(u) for u in units]))).astype(np.int64)
+        marks = K.Sums(_CHAR_CODES[chars]).spans(offsets[:-1], offsets[1:])
+        lists = rows.column("ids").combine_chunks() if head else pa.array([], pa.list_(pa.int32()))
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ids, first = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        self.shared = spark.sparkContext.broadcast((t, marks, ids, first))
         self.known: Known | None = None  # made on the worker, for its task
 
-    def tables(self) -> Tables:
+    def encoded(self, column: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For runs of texts: the texts, their ids, flat, and where each text's begin."""
         t, marks, ids, first = self.shared.value
         if self.known is None:
             self.known = Known(marks, ids, first)
-        return t
-
-    def rare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(__k, units) of (__k, text): the distinct units of each text that aren't among the frequent ones."""
-        t = self.tables()
-        for batch in batches:
-            at = 0
-            for texts in _runs(batch.column(1)):
-                chars, offsets = t.prepared(texts)
-                starts, ends = t.units(chars, offsets)
-                marks = K.Sums(_CHAR_CODES[chars]).spans(starts, ends)
-                new = np.flatnonzero((ends - starts < LONG) & self.known.missing(marks))
-                owner = np.searchsorted(offsets, starts[new], "right") - 1
-                order = np.lexsort((marks[new], owner))
-                new, owner = new[order], owner[order]
-                once = np.concatenate(([True], (owner[1:] != owner[:-1]) | (marks[new][1:] != marks[new][:-1]))) if len(new) else np.zeros(0, bool)
-                new, owner = new[once], owner[once]
-                whole = chars.tobytes()
-                units = [whole[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts[new], ends[new], strict=True)]
-                own, begin = np.unique(owner, return_index=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + at)), pa.ListArray.from_arrays(pa.array(np.append(begin, len(units)).astype(np.int32)), pa.array(units, pa.string()))], ["__k", "units"])
-                at += len(texts)
-        self.known = None
-
-    def encoded(self, column: pa.Array, given: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """For runs of texts: the texts, their ids, flat, and where each text's begin."""
-        t = self.tables()
-        pairs = given.flatten()
-        known = self.known.with_rare(pairs.field("unit").to_pylist(), *_flat(pairs.field("ids"))) if len(pairs) else self.known
+        known = self.known
         for texts in _runs(column):
             chars, offsets = t.prepared(texts)
             starts, ends = t.units(chars, offsets)
@@ -475,42 +443,18 @@ class Encoder:
         skip = 1 if t.prefix else 0
         return [raw[a + skip if raw[a : a + 1] == b" " else a : b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-    def with_rare_units(self, docs: DataFrame, text: str) -> DataFrame:
-        """``docs`` with __given, the encodings of each text's rare units."""
-        spark = docs.sparkSession
-        key = F.xxhash64(text).alias("__k")
-        found = docs.select(key, text).mapInArrow(trimmed(self.rare), "__k long, units array<string>")
-        rare, rare_path = written(found.groupBy("__k").agg(F.first("units").alias("units"), F.count("*").alias("n")), "rare")
-        one = rare.select("__k", "n", F.explode("units").alias("unit"))
-        units, units_path = written(lattice(spark, one.select("unit").distinct(), self.model), "units")
-        given = one.join(units, "unit").groupBy("__k").agg(F.collect_list(F.struct("unit", "ids")).alias("__given"), F.first("n").alias("n"))
-        given, _ = written(given, "given")
-        dropped(spark, rare_path, units_path)
-        return salted_lookup(docs.withColumn("__k", key), given, "__k", F.monotonically_increasing_id(), "n").drop("__k")
-
-
-def _mapped(docs: DataFrame, model: Model | None, text: str, head: int, kept: list[str], row, schema: T.StructType) -> DataFrame:
-    """``row(encoder, batch, parts)`` for each batch of ``kept``, the text and its encodings in runs."""
-    encoder = Encoder(docs, model or Model.read(), text, head)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield row(encoder, batch, list(encoder.encoded(batch.column("__text"), batch.column("__given"))))
-        encoder.known = None
-
-    wide = encoder.with_rare_units(docs.select(*kept, F.col(text).alias("__text")), "__text")
-    return wide.select(*kept, "__text", "__given").mapInArrow(trimmed(run), schema)
-
 
 def encode(docs: DataFrame, model: Model | None = None, text: str = "text", head: int = HEAD, ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text."""
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
+    encoder, kept = Encoder(docs, model or Model.read(), text, head), [c for c in docs.columns if c.lower() != ids.lower()]
 
-    def row(encoder: Encoder, batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
-        lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32())) for _, flat, first in parts]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))], [*kept, ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32())) for _, flat, first in encoder.encoded(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, ids])
+        encoder.known = None
 
-    return _mapped(docs, model, text, head, kept, row, T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.select(*kept).mapInArrow(trimmed(run), T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: Model | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -529,14 +473,17 @@ def decode(rows: DataFrame, model: Model | None = None, ids: str = "ids", text:
 
 def digests(docs: DataFrame, model: Model | None = None, text: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip): the hex digest of the ids as little-endian 32-bit integers, and whether decoding them gave the text."""
+    encoder = Encoder(docs, model or Model.read(), text, head)
 
-    def row(encoder: Encoder, batch: pa.RecordBatch, parts: list) -> pa.RecordBatch:
-        n, digest, same = [], [], []
-        for texts, flat, first in parts:
-            raw = flat.astype("<i4")
-            n += np.diff(first).tolist()
-            digest += [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
-            same += [x.encode() == y for x, y in zip(texts, encoder.decoded(flat, first), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, digest, same = [], [], []
+            for texts, flat, first in encoder.encoded(batch.column(1)):
+                raw = flat.astype("<i4")
+                n += np.diff(first).tolist()
+                digest += [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                same += [x.encode() == y for x, y in zip(texts, encoder.decoded(flat, first), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+        encoder.known = None
 
-    return _mapped(docs, model, text, head, ["doc_id"], row, T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]))
+    return docs.select("doc_id", text).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
