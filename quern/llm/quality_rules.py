@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the base measures.
-SPACE = "[\\\\x20\\\\x09-\\\\x0D]+"
+RARE_SPACE = "[\\\\x09\\\\x0B-\\\\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document must keep this share of the characters of its lines.
@@ -44,9 +44,10 @@ def _let(name: str, value: str, body: str) -> str:
 #: the words of its window that the marked position before it does not.  Only a text with more repeated hashes than
 #: FEW_REPEATS sorts all its windows.
 FEW_REPEATS = 48
-_WORDS = "filter(split({t}, '" + SPACE + "'), x -> x <> '')"
+#: Of a line, which holds no line feed; ``rare`` says whether its text has any separator but spaces and line feeds, which few have.
+_WORDS = "filter(split(if(rare, translate({t}, '\\t\\u000B\\u000C\\r', '    '), {t}), ' '), x -> x <> '')"
 _STARTS = "slice(sequence(0, size(w)), 1, greatest(size(w) - 2, 0))"
-_HASHES = "transform(ps, p -> xxhash64(get(w, p), get(w, p + 1), get(w, p + 2)))"
+_HASHES = "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, p) -> xxhash64(x, get(w, p + 1), get(w, p + 2)))"
 _TWICE = "array_distinct(filter(hs, (x, k) -> x = get(hs, k - 1)))"
 _CANDIDATES = f"if(size(du) <= {FEW_REPEATS}, filter(ps, p -> array_contains(du, get(h, p))), ps)"
 _WINDOWS = "sort_array(transform(cs, p -> struct(concat(get(w, p), ' ', get(w, p + 1), ' ', get(w, p + 2)) as g, p as p)))"
@@ -56,7 +57,8 @@ _COVERED = "aggregate(d, struct(0 as n, -3 as last), (a, p) -> struct(a.n + leas
 
 def _repeat_words() -> str:
     exact = _let("cs", _CANDIDATES, _let("s", _WINDOWS, _let("d", _MARKED, _COVERED)))
-    return "cast(" + _let("ps", _STARTS, _let("h", _HASHES, _let("hs", "sort_array(h)", _let("du", _TWICE, f"if(size(du) = 0, 0, {exact})")))) + " as bigint)"
+    found = _let("hs", "sort_array(h)", _let("du", _TWICE, _let("ps", _STARTS, exact)))
+    return "cast(" + _let("h", _HASHES, f"if(size(array_distinct(h)) = size(h), 0, {found})") + " as bigint)"
 
 
 def _line_fails(line: str, words: str) -> str:
@@ -81,7 +83,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     judged = _let("ph", found, f"transform(filter(ls, e -> size(e.v) > 0), e -> named_struct('l', e.l, 'bad', {_line_fails('e.l', 'e.v')}, 'c', cast(length(e.l) as bigint)))")
     base = _let("w", "flatten(transform(ls, e -> e.v))", "named_struct('n', cast(size(w) as bigint), 'c', cast(length(array_join(w, '')) as bigint), 'r', " + _repeat_words() + ")")
     # the measures come out of a generator, below which no filter on them is pushed: it would compute them again for each use
-    one = docs.select(*kept, F.expr(t).alias("__t"), F.explode(F.array(F.expr(_let("ls", lines, f"struct({base} as b, {judged} as j)")))).alias("__bj"))
+    one = docs.select(*kept, F.expr(t).alias("__t"), F.explode(F.array(F.expr(_let("rare", f"{t} rlike '{RARE_SPACE}'", _let("ls", lines, f"struct({base} as b, {judged} as j)"))))).alias("__bj"))
     one = one.select(*kept, "__t", F.col("__bj.b").alias("__b"), F.col("__bj.j").alias("__j"))
     shares = "aggregate(__j, struct(0L as good, 0L as bad_n, 0L as c), (a, e) -> struct(a.good + if(e.bad, 0, e.c) as good, a.bad_n + if(e.bad, 1, 0) as bad_n, a.c + e.c as c))"
     two = one.select(*kept, "__t", "__b", "__j", F.expr(shares).alias("__s"))

@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chat, quality_rules, sentencepiece_lattice, url_filter, warc
+from quern.llm import chat, near_dedup, pii, quality_rules, sentencepiece_lattice, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "\n".join(f"Line{k} " + " ".join(f"word{k}x{j}" for j in range(11)) + " ends here." for k in range(9))
@@ -78,6 +78,31 @@ def test_urls_of_odd_pages(spark):
     assert url_filter.judged(pages.limit(0), url_filter.fitted(url_filter.example_labels(pages.limit(0), n=0))).count() == 0
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    """Sets of no words link nothing, ties go to the smallest id, rows of one id are one node, rows without id stay."""
+    mail = "Mail a.b@c.org now or call plus one."
+    docs = documents(spark, (1, None), (2, ""), (3, "one two"), (4, "ONE\ttwo"), (None, "a b c d e f"), (None, "a b c d e f"), (5, "x " * 30_000), (9, "x " * 7), (6, "y" * 50_000), (7, mail), (7, mail), (8, " \t\n"))
+    docs = docs.withColumns({"kept": F.lit("mine"), "n_shingles": F.lit("mine"), "more": F.lit("stays")})
+    rows = near_dedup.near_duplicates(docs).collect()
+    assert len(rows) == 12
+    assert sorted(tuple(r) for r in rows if r.doc_id) == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (9, 1, 5, False), (6, 1, 6, True), (7, 3, 7, True), (7, 3, 7, True), (8, 0, 8, True)])
+    assert [(r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id is None] == [(2, None, True)] * 2
+    left = near_dedup.deduplicated(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 5, 6, 7, 7, 8]
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_personal_data_of_odd_rows(spark):
+    docs = documents(spark, (1, None), (2, ""), (3, "Mail a.b@c.org now."), (3, "Mail a.b@c.org now."), (None, "+1 (988) 555-2485"), (4, "z" * 60_000)).withColumns({"base_spans": F.lit("mine"), "more": F.lit("stays")})
+    found = pii.spotted(docs, pii.fitted(docs)).collect()
+    assert sorted((r.doc_id or 0, [tuple(s) for s in r.base_spans], r.more) for r in found) == sorted(
+        [(1, [], "stays"), (2, [], "stays"), (4, [], "stays"), (0, [("phone", 0, 17)], "stays")] + [(3, [("email", 5, 14)], "stays")] * 2
+    )
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert (clean[1], clean[2], clean[3], clean[None]) == (None, "", "Mail [EMAIL] now.", "[PHONE]")
+    assert pii.redacted(docs.limit(0)).count() == 0 and pii.redacted(docs).columns == docs.columns
+
+
 def test_sentencepiece_of_odd_rows(spark):
     docs = documents(spark, (1, None), (2, ""), (3, "a b"), (3, "a b"), (None, " ")).withColumn("ids", F.lit("mine"))
     rows = sentencepiece_lattice.encode(docs).collect()
