@@ -17,6 +17,15 @@ FUNCTIONS = {
 }
 
 
+def macros(spark: SparkSession, bodies: dict[str, tuple[str, str]]) -> list[str]:
+    """Registers functions by name, parameters and body, for the session; a body's type is that of its result on nulls."""
+    for name, (parameters, body) in bodies.items():
+        typed = ", ".join(f"CAST(NULL AS {p.split(None, 1)[1]}) AS {p.split(None, 1)[0]}" for p in parameters.split(","))
+        result = spark.sql(f"SELECT {body} AS r FROM (SELECT {typed})").schema[0].dataType.simpleString()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+    return list(bodies)
+
+
 def register_all(spark: SparkSession) -> None:
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} {body}")

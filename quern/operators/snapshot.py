@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import store
-from quern.operators.store import AnalysisError, Storage
+from quern.operators.store import Storage
+from quern.operators.update import partition_condition
 from quern.plans.statements import MakeSnapshot, Restore
 
 
-def predicate(spark: SparkSession, s: MakeSnapshot) -> Column | None:
-    """An OR over specs of an AND over their keys, values cast to the column's type: it prunes partitions."""
-    if not s.partitions:
-        return None
-    parts = {c.lower(): c for c in store.partition_columns(spark, s.source)}
-    if not parts:
-        raise AnalysisError(f"{s.source} has no partitions, so no PARTITION can be named")
-    types = {f.name: f.dataType for f in spark.table(store.plain(s.source)).schema}
-    for spec in s.partitions:
-        for key, _ in spec:
-            if key.lower() not in parts:
-                raise AnalysisError(f"{key} isn't a partition column of {s.source} ({', '.join(parts.values())})")
-    one = lambda k, v: F.col(parts[k.lower()]) == F.lit(v).cast(types[parts[k.lower()]])
-    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (one(k, v) for k, v in spec)) for spec in s.partitions))
-
-
 def rows(spark: SparkSession, s: MakeSnapshot) -> DataFrame:
-    where = predicate(spark, s)
     table = spark.table(store.plain(s.source))
-    return table if where is None else table.filter(where)
+    return table.filter(partition_condition(spark, s.source, s.partitions)) if s.partitions else table
 
 
 def make(spark: SparkSession, s: MakeSnapshot) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.keyed import upserted
+from quern.sources import keyed
 
 
 def windowed(events: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -16,12 +16,14 @@ def windowed(events: DataFrame, time: str, key: str, value: str, width: str = "1
     return source.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
-def upsert_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into versions of a keyed table; a batch that comes again rewrites its own version."""
+def upsert_batches(path: str, key: str, order: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a keyed table, whose files out of the batch's keys stay as they are.
+
+    A batch that comes again is left out by its number.  The last ``keep`` versions stay for readers that began before.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v{number - 1}") if number else batch.limit(0)
-        upserted(before, batch, key).write.mode("overwrite").parquet(f"{path}/v{number}")
+        keyed.upsert(batch.sparkSession, path, batch, key, order, number)
+        keyed.vacuum(batch.sparkSession, path, keep)
 
     return merge
