@@ -81,8 +81,10 @@ def records(typed: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
     )
     one = typed.select(F.expr("uuid()").alias("id"), "record_type", "refers_to", common.alias("common"), block.alias("block"))
     cuts = F.sequence(F.lit(0), F.greatest(F.octet_length("block") - 1, F.lit(0)), F.lit(segment))
-    cut = one.select("*", F.octet_length("block").alias("total"), F.size(cuts).alias("segments"), F.posexplode(cuts).alias("k", "at"))
-    body = F.substring("block", F.col("at") + 1, F.lit(segment))
+    # bodies are cut before they are dealt into rows: no row carries the whole block
+    bodies = F.transform(cuts, lambda at: F.substring("block", at + 1, F.lit(segment)))
+    whole = one.select("id", "record_type", "refers_to", "common", F.octet_length("block").alias("total"), F.size(cuts).alias("segments"), bodies.alias("bodies"))
+    cut = whole.select("id", "record_type", "refers_to", "common", "total", "segments", F.posexplode("bodies").alias("k", "body"))
     urn = lambda v: F.concat(F.lit("<urn:uuid:"), v, F.lit(">"))
     later = F.col("k") > 0
     header = F.concat(
@@ -96,10 +98,10 @@ def records(typed: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK) -> Dat
         F.when(later & (F.col("k") == F.col("segments") - 1), line("WARC-Segment-Total-Length", F.col("total"))).otherwise(F.lit("")),
         F.when(F.col("record_type") == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("X-Refers-To-Page", F.col("refers_to")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(body)),
+        line("Content-Length", F.octet_length("body")),
         F.lit("\r\n"),
     )
-    return cut.select(F.concat(_bytes(header), body).cast("string").alias("record"))
+    return cut.select(F.concat(_bytes(header), F.col("body")).cast("string").alias("record"))
 
 
 def write(pages: DataFrame, path: str | None = None) -> str:
