@@ -392,4 +392,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group; rows that repeat a kept doc_id stay with it."""
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # what goes grows with the corpus: one plan for every size, never a broadcast
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
