@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,25 +36,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that were written and not yet dropped.
-_made: set[str] = set()
+_own = threading.local()
 
 
 def made() -> set[str]:
-    return set(_made)
+    """Tables that this thread has written and not yet dropped."""
+    return set(_own.__dict__.get("paths", ()))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, which cuts its lineage, and the table's path."""
     path = new_path(df.sparkSession, name)
-    _made.add(path)
+    _own.__dict__.setdefault("paths", set()).add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
-        _made.discard(path)
+        _own.__dict__.get("paths", set()).discard(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

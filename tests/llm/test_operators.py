@@ -118,6 +118,21 @@ def test_rows_at_partition_edges_stay_open():
     assert [r["a"] for r in alone] == [0]
 
 
+def test_every_order_has_a_turn_of_its_own(spark):
+    """128 bits turned as one number; no two orders begin at one bit."""
+    rng = random.Random(3)
+    first, second = rng.getrandbits(64), rng.getrandbits(64)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.range(near_dedup.TREES).select(F.col("id").cast("int").alias("tree"), F.lit(signed(first)).alias("a"), F.lit(signed(second)).alias("b"))
+    found = rows.select("tree", *near_dedup._turned(F.col("tree"), F.col("a"), F.col("b"))).collect()
+    for tree, high, low in found:
+        a, b, by = (first, second, tree * 37 % 63 + 1) if tree % 2 == 0 else (second, first, tree * 37 % 63 + 1)
+        whole = a << 64 | b
+        turned = (whole << by | whole >> (128 - by)) & ((1 << 128) - 1)
+        assert (high, low) == (signed(turned >> 64), signed(turned & ((1 << 64) - 1)))
+    assert len({(r[1], r[2]) for r in found}) == near_dedup.TREES
+
+
 def test_all_pairs_of_a_large_region(spark, many_partitions):
     """A region of more than REGION rows: each pair of similar sketches from different components is listed once."""
     rng = np.random.default_rng(4)
