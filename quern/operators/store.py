@@ -21,8 +21,8 @@ COLUMNS_MAPPING = "spark.dialect.hbase.columns.mapping"
 ROWKEY_FUNCTION = "spark.dialect.hbase.table.rowkey.func"
 
 
-#: What a staged table is named, and its notes.
-STAGED, REPLACES, BACKUP = "__stage_", "quern.replaces", "quern.backup"
+#: What staged tables are named, whole ones and those of partitions, and their notes.
+STAGED, PARTIAL, REPLACES, BACKUP = "__stage_", "__part_", "quern.replaces", "quern.backup"
 
 
 class AnalysisError(ValueError):
@@ -120,10 +120,10 @@ def swap(df: DataFrame, table: str) -> str | None:
 
 
 def recover(spark: SparkSession, table: str) -> str:
-    """Ends a swap that broke off: ``finished`` (the new version is in place now), ``undone`` (the old one stays, the rest is gone) or ``whole``."""
+    """Ends a swap or a rewrite of partitions that broke off: ``finished`` (the new version is in place now), ``undone`` (the old one stays, the rest is gone) or ``whole``."""
     name = plain(table)
     database, _, last = name.rpartition(".")
-    left = [t.name for t in spark.catalog.listTables(*([database] if database else [])) if t.name.startswith(f"{last}{STAGED}".lower())]
+    left = [t.name for t in spark.catalog.listTables(*([database] if database else [])) if t.name.startswith((f"{last}{STAGED}".lower(), f"{last}{PARTIAL}".lower()))]
     out = "whole"
     for staged in (f"{database}.{t}" if database else t for t in left):
         if not spark.catalog.tableExists(name) and properties(spark, staged).get(REPLACES, "").lower() == name.lower():
@@ -137,7 +137,7 @@ def recover(spark: SparkSession, table: str) -> str:
 
 def replace_partitions(df: DataFrame, table: str) -> None:
     """Rewrites the partitions that ``df`` has rows of, and no others; ``df`` may read the table."""
-    spark, staged = df.sparkSession, f"{plain(table)}__part_{uuid.uuid4().hex[:8]}"
+    spark, staged = df.sparkSession, f"{plain(table)}{PARTIAL}{uuid.uuid4().hex[:8]}"
     save_new(df, staged, table)
     mode = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(mode, None)

@@ -56,8 +56,8 @@ def partition_condition(spark: SparkSession, table: str, specs) -> str:
 def matched(spark: SparkSession, s: UpdateFrom) -> DataFrame:
     """A row for each pair: target columns with new values, source columns as ``<c>__t``, old values as ``src_<c>``."""
     target, at = spark.table(store.plain(s.target)), _set_index(spark, s)
-    new = ", ".join(f"({e}) AS __s{k}" for k, (_, e) in enumerate(s.sets))
-    wide = spark.sql(f"SELECT *, {new} FROM {_target(spark, s)}, {s.relation} WHERE {s.condition}")
+    new = "".join(f", ({e}) AS __s{k}" for k, (_, e) in enumerate(s.sets))
+    wide = spark.sql(f"SELECT *{new} FROM {_target(spark, s)}, {s.relation} WHERE {s.condition}")
     n, names = len(target.columns), wide.columns
     source = names[n : len(names) - len(s.sets)]
     wide = wide.toDF(*(f"c{k}" for k in range(len(names))))
@@ -122,20 +122,20 @@ def strategy(spark: SparkSession, s: UpdateFrom) -> str:
     return "swap"
 
 
-def _hit(spark: SparkSession, s: UpdateFrom):
-    """The partitions that hold matched rows: at most as many rows as the table has partitions."""
+def _hit(spark: SparkSession, s: UpdateFrom) -> tuple | None:
+    """The partitions that hold matched rows, at most as many rows as the table has partitions; None if one has no value to name it by."""
     parts = store.partition_columns(spark, s.target)
-    rows = matched(spark, s).select(*parts).distinct().collect()
-    return tuple(tuple((c, str(r[c])) for c in parts) for r in rows if all(r[c] is not None for c in parts))
+    rows = matched(spark, replace(s, sets=())).select(*parts).distinct().collect()
+    return None if any(v is None for r in rows for v in r) else tuple(tuple((c, str(r[c])) for c in parts) for r in rows)
 
 
 def update(spark: SparkSession, s: UpdateFrom, persist: bool = False, on_multiple: str = "error", order: str | None = None) -> DataFrame:
     if not persist:
         return matched(spark, s)
-    if strategy(spark, s) == "partitions":
-        hit = s if s.partitions else replace(s, partitions=_hit(spark, s))
-        if hit.partitions:
-            store.replace_partitions(merged(spark, hit, on_multiple, order), s.target)
+    named = s.partitions if strategy(spark, s) != "partitions" or s.partitions else _hit(spark, s)
+    if strategy(spark, s) == "partitions" and named is not None:
+        if named:
+            store.replace_partitions(merged(spark, replace(s, partitions=named), on_multiple, order), s.target)
         return spark.table(store.plain(s.target))
     whole = merged(spark, s, on_multiple, order)
     if s.partitions:

@@ -655,12 +655,13 @@ for _hint in ("MERGE", "SHUFFLE_HASH", "SHUFFLE_REPLICATE_NL"):
     _sql(f"join_hint_{_hint.lower()}", f"SELECT /*+ {_hint}(supplier) */ s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 _sql("fn_trim", "SELECT p_partkey, trim(LEADING 'B' FROM p_brand) AS a, trim(TRAILING '3' FROM p_brand) AS b, ltrim('B', p_brand) AS c, rtrim('3', p_brand) AS d, initcap(lower(p_type)) AS e, substr(p_name, 0, 4) AS f, substring(p_name, 2, 3) AS g FROM part",
      "SELECT p_partkey, ltrim(p_brand, 'B') AS a, rtrim(p_brand, '3') AS b, ltrim(p_brand, 'B') AS c, rtrim(p_brand, '3') AS d, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS e, substr(p_name, 1, 4) AS f, substr(p_name, 2, 3) AS g FROM part")
-_sql("fn_unix_timestamp", "SELECT o_orderkey, unix_timestamp(CAST(o_orderdate AS STRING), 'yyyy-MM-dd HH:mm:ss') AS a, from_unixtime(86400 * 365) AS b, unix_timestamp('20190601 12', 'yyyyMMdd HH') AS c, to_unix_timestamp(CAST(CAST(o_orderdate AS DATE) AS STRING), 'yyyy-MM-dd') AS d FROM orders",
-     "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS a, '1971-01-01 00:00:00' AS b, epoch(TIMESTAMP '2019-06-01 12:00:00')::BIGINT AS c, epoch(date_trunc('day', o_orderdate))::BIGINT AS d FROM orders")
+# texts name their zone, so that results don't depend on the session's
+_sql("fn_unix_timestamp", "SELECT o_orderkey, unix_timestamp(concat(CAST(o_orderdate AS STRING), ' UTC'), 'yyyy-MM-dd HH:mm:ss VV') AS a, from_unixtime(unix_timestamp('1971-02-03 04:05:06', 'yyyy-MM-dd HH:mm:ss')) AS b, unix_timestamp('20190601 12 UTC', 'yyyyMMdd HH VV') AS c, to_unix_timestamp(concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 00 UTC'), 'yyyy-MM-dd HH VV') AS d FROM orders",
+     "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS a, '1971-02-03 04:05:06' AS b, epoch(TIMESTAMP '2019-06-01 12:00:00')::BIGINT AS c, epoch(date_trunc('day', o_orderdate))::BIGINT AS d FROM orders")
 _sql("fn_time_zone", "SELECT o_orderkey, date_format(from_utc_timestamp(CAST(o_orderdate AS TIMESTAMP), 'Asia/Tokyo'), 'yyyy-MM-dd HH:mm') AS a, date_format(to_utc_timestamp(CAST(o_orderdate AS TIMESTAMP), 'Asia/Tokyo'), 'yyyy-MM-dd HH:mm') AS b, current_timezone() IS NOT NULL AS c FROM orders",
      "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS a, strftime(o_orderdate - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS b, true AS c FROM orders")
-_sql("fn_literals", "SELECT n_nationkey, CAST(DATE '2020-02-29' + INTERVAL 1 DAY AS STRING) AS a, date_format(TIMESTAMP '2020-01-01 00:00:00' + INTERVAL '1 02:03' DAY TO MINUTE, 'yyyy-MM-dd HH:mm') AS b, CAST(DATE '2020-01-31' + INTERVAL 1 MONTH AS STRING) AS c, 1L + 2S + 3Y AS d, 1.5D AS e, 2.50BD = 2.5 AS f, 'a' 'b' AS g, X'41' = CAST('A' AS BINARY) AS h, TRUE AND NOT FALSE AS i, NULL AS j, 1e3 AS k FROM nation",
-     "SELECT n_nationkey, '2020-03-01' AS a, '2020-01-02 02:03' AS b, '2020-02-29' AS c, 6::BIGINT AS d, 1.5::DOUBLE AS e, true AS f, 'ab' AS g, true AS h, true AS i, NULL AS j, 1000.0::DOUBLE AS k FROM nation")
+_sql("fn_literals", "SELECT n_nationkey, CAST(DATE '2020-02-29' + INTERVAL 1 DAY AS STRING) AS a, date_format(TIMESTAMP '2020-01-01 00:00:00' + INTERVAL '1 02:03' DAY TO MINUTE, 'yyyy-MM-dd HH:mm') AS b, CAST(DATE '2020-01-31' + INTERVAL 1 MONTH AS STRING) AS c, 1L + 2S + 3Y AS d, 1.5D AS e, 2.50BD = 2.5 AS f, 'a' 'b' AS g, X'41' = CAST('A' AS BINARY) AS h, TRUE AND NOT FALSE AS i, CAST(NULL AS INT) AS j, 1e3 AS k FROM nation",
+     "SELECT n_nationkey, '2020-03-01' AS a, '2020-01-02 02:03' AS b, '2020-02-29' AS c, 6::BIGINT AS d, 1.5::DOUBLE AS e, true AS f, 'ab' AS g, true AS h, true AS i, NULL::INTEGER AS j, 1000.0::DOUBLE AS k FROM nation")
 _sql("fn_map_more", "SELECT n_nationkey, map_values(map('a', n_nationkey, 'b', n_regionkey))[1] AS a, map_entries(map('k', n_name))[0].value AS b, size(map_from_arrays(array('x', 'y'), array(1, 2))) AS c, map_contains_key(map('x', 1), 'x') AS d, element_at(map_concat(map('p', 1), map('q', n_regionkey)), 'q') AS e FROM nation",
      "SELECT n_nationkey, n_regionkey AS a, n_name AS b, 2 AS c, true AS d, n_regionkey AS e FROM nation")
 _sql("fn_json_more", "SELECT n_nationkey, to_json(named_struct('a', n_nationkey, 'b', n_name)) AS a, j.x AS b, j.y AS c FROM nation LATERAL VIEW json_tuple(concat('{\"x\": \"', n_name, '\", \"y\": ', n_regionkey, '}'), 'x', 'y') j AS x, y",

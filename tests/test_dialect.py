@@ -118,6 +118,10 @@ def test_keyed_stores_rewrite_only_partitions_hit(spark):
     e.sql("UPDATE keyedparts SET v = 'new' FROM many s WHERE keyedparts.k = s.k AND s.k = 3", persist=True)
     assert sorted((r.k, r.v) for r in spark.table("keyedparts").collect()) == [(1, "a"), (2, "b"), (3, "new")]
     assert [f for f in spark.table("keyedparts").inputFiles() if "p=0" in f] == kept
+    # rows of the partition without a value are found too: then the whole table is replaced
+    spark.sql("INSERT INTO keyedparts VALUES (9, 'none', NULL)")
+    e.sql("UPDATE keyedparts SET v = 'newer' FROM (SELECT 9 AS k) s WHERE keyedparts.k = s.k", persist=True)
+    assert sorted((r.k, r.v) for r in spark.table("keyedparts").collect()) == [(1, "a"), (2, "b"), (3, "new"), (9, "newer")]
 
 
 @pytest.mark.parametrize("external", [False, True])
