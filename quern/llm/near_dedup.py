@@ -50,6 +50,8 @@ PIECE, MANY, LARGE_PIECE = 512, 32, 8_192
 CELLS = 250_000
 #: Bytes of sets in a block, of which a task holds two; clusters of fewer share bins of about half as many.
 BLOCK_BYTES = 32 << 20
+#: Bytes of partners' sets that a task compares; a cluster with more is dealt into more blocks.
+COMPARED_BYTES = 1 << 30
 #: Of 128 one-bit minhashes, those that must agree: sets of similarity 0.75 agree on 112 +- 3.7.
 LEAST_AGREEING = 94
 
@@ -323,9 +325,9 @@ def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id:
     """Links (a, b) from rows (a, partners), confirmed on the full shingle sets, as a table, and its path.
 
     ``nodes`` has (rep, component, cluster) of every document named, whose partners are in its cluster.  Clusters of up to
-    BLOCK_BYTES of sets are dealt into bins, of which each is a task.  The sets of a larger one are dealt into blocks, and each
-    two blocks are a task; a row with partners goes only to blocks that hold some of them.  So no pair becomes a row, no set of a
-    smaller cluster is copied, and no group is one task whatever its size.
+    BLOCK_BYTES of sets and COMPARED_BYTES to compare are dealt into bins, of which each is a task.  The sets of a larger one are
+    dealt into blocks, and each two blocks are a task; a row with partners goes only to blocks that hold some of them.  So no pair
+    becomes a row, no set of a smaller cluster is copied, and no group is one task whatever its size.
     """
     spark = docs.sparkSession
     lists, p1 = written(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")), "partners")
@@ -334,7 +336,9 @@ def confirmed_lists(lists: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id:
     sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles")).alias("bytes"), F.count("*").alias("rows"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // BLOCK_BYTES))
-    cuts = sizes.select("cluster", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / BLOCK_BYTES).alias("cuts"), "rows")
+    work = lists.select(F.col("a").alias("rep"), F.size("partners").alias("n")).join(nodes, "rep").groupBy("cluster").agg(F.sum("n").alias("pairs"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.sqrt(F.coalesce("pairs", F.lit(0)) * F.col("bytes") / F.col("rows") / COMPARED_BYTES)))
+    cuts = sizes.join(work, "cluster", "left").select("cluster", blocks.cast("long").alias("cuts"), "rows")
 
     def dealt() -> DataFrame:
         own = salted_lookup(spark.read.schema(sets.schema).parquet(p2), cuts, "cluster", F.col("rep"), "rows").withColumn("big", F.col("cuts") > 1)

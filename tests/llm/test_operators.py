@@ -165,7 +165,7 @@ def test_all_pairs_of_a_large_region(spark, many_partitions):
 @pytest.mark.parametrize("block", [near_dedup.BLOCK_BYTES, 40_000])
 def test_leaves_that_only_a_hub_links(spark, many_partitions, monkeypatch, block):
     """600 texts that are similar to one text and hardly to each other, with parts and pieces of regions, blocks and batches far smaller than the region."""
-    for name, value in (("HELD", 60), ("PIECE", 32), ("LARGE_PIECE", 64), ("MANY", 4), ("BLOCK_BYTES", block)):
+    for name, value in (("HELD", 60), ("PIECE", 32), ("LARGE_PIECE", 64), ("MANY", 4), ("BLOCK_BYTES", block), ("COMPARED_BYTES", 20 * block)):
         monkeypatch.setattr(near_dedup, name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
     try:
